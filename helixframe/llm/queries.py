@@ -10,6 +10,7 @@ from helixframe.llm.pii import op9_pii
 from helixframe.llm.quality_classifier import op2_quality_classifier
 from helixframe.llm.quality_rules import op1_quality_rules
 from helixframe.llm.simhash import op8_simhash
+from helixframe.llm.suffix_dedup import op6_suffix_dedup
 from helixframe.llm.token_counts import op5_token_counts
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
         op3_byte_bpe,
         op4_media_ogg,
         op5_token_counts,
+        op6_suffix_dedup,
         op7_mixing,
         op8_simhash,
         op9_pii,
