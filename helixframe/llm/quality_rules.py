@@ -127,7 +127,10 @@ def score(docs: DataFrame, ratios: DataFrame, buckets: int = BUCKETS, threshold:
     n = F.size("_w")
     llr = F.when((n > 0) & F.col("_m").isNotNull(), total / (2 * n - 1))
     got = got.select(*[f"`{c}`" for c in keep], llr.alias("llr"))
-    return got.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(True)))
+    # A filter on the verdict must run after it: pushed below, it would copy the whole chain of array expressions into
+    # itself. Spark pushes no filter through a projection with a row number, which here is never negative.
+    verdict = ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(True))
+    return got.withColumn("kept", verdict & (F.monotonically_increasing_id() >= 0))
 
 
 def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
