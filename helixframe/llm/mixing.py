@@ -30,6 +30,7 @@ BUDGET = 1.5
 MAX_EPOCHS = 2
 BUCKETS = 4096
 SEED = 7
+ODD = "#*$%&|<>!{}[]=_~^0123456789"
 
 
 def n_words(text: Column) -> Column:
@@ -39,18 +40,20 @@ def n_words(text: Column) -> Column:
 def quality(text: Column) -> Column:
     """From 0.05 to 1: one less four times the share of characters rarely met in prose."""
     n = F.length(text)
-    odd = n - F.length(F.translate(text, "#*$%&|<>!{}[]=_~^0123456789", ""))
+    odd = n - F.length(F.translate(text, ODD, ""))
     return F.when(n > 0, F.greatest(F.lit(0.05), 1 - 4 * odd / n)).otherwise(F.lit(0.05))
 
 
+def uniform(doc_id: Column, text: Column) -> Column:
+    """In (0, 1), from 52 bits of the MD5 of seed, id and text; any SQL can repeat it."""
+    digest = F.md5(F.concat(F.lit(f"{SEED}|"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), text))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
 def keyed(docs: DataFrame, extra: list[str] = ()) -> DataFrame:
     """(doc_id, source, size, key, also `extra` columns): what the sampling needs of a document."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    draw = F.xxhash64(F.col("doc_id"), text, F.lit(SEED))
-    u = (F.shiftrightunsigned(draw, 11) + 0.5) / float(1 << 53)
-    return docs.select(
-        "doc_id", "source", *extra, n_words(text).alias("size"), (-F.ln(u) / quality(text)).alias("key")
-    )
+    return docs.select("doc_id", "source", *extra, n_words(text).alias("size"), (-F.ln(uniform(F.col("doc_id"), text)) / quality(text)).alias("key"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most: float = MAX_EPOCHS) -> DataFrame:
@@ -111,4 +114,25 @@ def mix(rows: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = written(keyed(table(spark, sf_dir, "documents")), "mix-keys")
-    return mix(rows).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(rows).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+
+
+#: The same rows by sorting each source whole.
+ORACLE_SQL = rf"""
+WITH keyed AS (SELECT doc_id, source, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS size,
+    -ln((CAST('0x' || substr(md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || t), 1, 13) AS BIGINT) + 0.5) / CAST({1 << 52} AS DOUBLE))
+    / (CASE WHEN length(t) > 0 THEN greatest(CAST(0.05 AS DOUBLE), 1 - 4 * CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>!{{}}\[\]=_~^0-9]', '', 'g')) AS DOUBLE) / length(t)) ELSE CAST(0.05 AS DOUBLE) END) AS key
+  FROM (SELECT doc_id, source, coalesce(text, '') AS t FROM documents)),
+sizes AS (SELECT source, sum(size) AS source_size FROM keyed GROUP BY source),
+weighed AS (SELECT source, source_size, [{', '.join(f'{w}.0' for w in WEIGHTS)}][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1 AS INT)]::DOUBLE AS w,
+    CAST({MAX_EPOCHS} * source_size AS DOUBLE) AS cap, CAST({BUDGET} AS DOUBLE) * sum(source_size) OVER () AS total FROM sizes),
+run AS (SELECT *, (total - coalesce(sum(cap) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level, row_number() OVER o AS k FROM weighed
+  WINDOW o AS (ORDER BY cap / w, source NULLS LAST), before AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+first_free AS (SELECT arg_min(level, k) AS level, min(k) AS k FROM run WHERE level * w <= cap),
+targets AS (SELECT r.source, r.source_size, CASE WHEN f.k IS NULL OR r.k < f.k THEN r.cap ELSE least(f.level * r.w, r.cap) END AS target FROM run r, first_free f),
+plan AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM targets),
+placed AS (SELECT k.doc_id, k.size, p.source_size, p.target, p.epochs, p.target - p.epochs * p.source_size AS rest,
+    sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM keyed k JOIN plan p ON k.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, round(target, 3) AS target,
+  CAST(size * (epochs + CASE WHEN epochs < {MAX_EPOCHS} AND 2 * upto - size <= 2 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM placed"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from helixframe.llm import mixing
 from helixframe.llm.bpe import op3_byte_bpe
 from helixframe.llm.language_id import op10_language_id
 from helixframe.llm.media_ogg import op4_media_ogg
@@ -29,4 +30,4 @@ QUERIES = {
     )
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op7_mixing": mixing.ORACLE_SQL}
