@@ -14,6 +14,8 @@ from helixframe.functions.sequence import base_count
 from helixframe.schemas import BASES, CHROM_SEQ, GENE
 
 CHUNK = 100_000
+#: Genomes of up to so many sequences have their names broadcast.
+BROADCAST_CHROMS = 200_000
 #: Parts of chromosome names that mark sex, mitochondrial, unplaced and alternative sequences.
 NOT_AUTOSOMES = ("chrX", "chrY", "chrM", "chrUn_", "_random", "_hap", "_alt")
 
@@ -121,17 +123,27 @@ def promoters(genes: DataFrame, upstream: int, downstream: int) -> DataFrame:
 def fetch(windows: DataFrame, chunks: DataFrame, size: int = CHUNK) -> DataFrame:
     """Add `seq`: the bases [w_start, w_end) of each row's chromosome, cut where the chromosome ends.
 
-    Windows meet the chunks they touch by (chrom, chunk_id), so a chromosome is never in one task; the pieces of the few
-    windows that straddle chunks are joined in order. An unknown chromosome raises.
+    Windows meet the chunks they touch by (chrom, chunk_id), so a chromosome is never in one task. Most windows lie in one
+    chunk and are done by the join; only the few that straddle chunks are grouped to join their pieces in order. An unknown
+    chromosome raises.
     """
-    first, last = F.floor(F.col("w_start") / size), F.floor((F.greatest(F.col("w_end"), F.col("w_start") + 1) - 1) / size)
-    asked = windows.withColumn("chunk_id", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
-    joined = asked.join(chunks.select(F.col("chrom").alias("_chrom"), F.col("chunk_id").alias("_id"), "chunk_start", "seq"), (F.col("chrom") == F.col("_chrom")) & (F.col("chunk_id") == F.col("_id")), "left")
+    columns = windows.columns
+    first = F.floor(F.col("w_start") / size).cast("int")
+    last = F.floor((F.greatest(F.col("w_end"), F.col("w_start") + 1) - 1) / size).cast("int")
+    parts = chunks.select(F.col("chrom").alias("_chrom"), F.col("chunk_id").alias("_id"), "chunk_start", F.col("seq").alias("_seq"))
     a = F.greatest(F.col("w_start") - F.col("chunk_start"), F.lit(0))
     b = F.least(F.col("w_end") - F.col("chunk_start"), F.lit(size))
-    piece = F.substring("seq", (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
-    columns = windows.columns
-    pieces = joined.groupBy(*columns).agg(F.sort_array(F.collect_list(F.when(F.col("_id").isNotNull(), F.struct("chunk_id", piece.alias("s"))))).alias("p"))
-    found = F.array_join(F.transform("p", lambda x: x["s"]), "")
-    unknown = F.raise_error(F.concat(F.lit("no sequence for chromosome "), F.coalesce(F.col("chrom"), F.lit("null"))))
-    return pieces.select(*columns, F.when(F.size("p") > 0, found).otherwise(unknown).alias("seq"))
+    piece = F.substring("_seq", (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+    same = (F.col("chrom") == F.col("_chrom")) & (F.col("_at") == F.col("_id"))
+    # Every chromosome has a chunk 0: one row each tells the unknown ones, also where a window lies past the end.
+    names = chunks.filter("chunk_id = 0").select(F.col("chrom").alias("_known"))
+    listed = F.broadcast(names) if names.limit(BROADCAST_CHROMS + 1).count() <= BROADCAST_CHROMS else names
+    unknown = F.raise_error(F.concat(F.lit("no sequence for chromosome "), F.coalesce(F.col("chrom"), F.lit("null")))).cast("boolean")
+    windows = windows.join(listed, F.col("chrom") == F.col("_known"), "left").filter(F.col("_known").isNotNull() | unknown).select(*columns)
+
+    one = windows.filter(first == last).withColumn("_at", first).join(parts, same, "left")
+    one = one.select(*columns, F.when(F.col("_id").isNotNull(), piece).alias("seq"))
+    many = windows.filter(first < last).withColumn("_at", F.explode(F.sequence(first, last))).join(parts, same, "left")
+    many = many.groupBy(*columns).agg(F.sort_array(F.collect_list(F.when(F.col("_id").isNotNull(), F.struct("_id", piece.alias("s"))))).alias("p"))
+    many = many.select(*columns, F.array_join(F.transform("p", lambda x: x["s"]), "").alias("seq"))
+    return one.unionByName(many).withColumn("seq", F.coalesce("seq", F.lit("")))

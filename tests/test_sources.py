@@ -124,6 +124,8 @@ def test_fasta(spark, tmp_path, size):
     assert got == {1: "AaTtCcGgNn", 2: "aCCccT", 3: "ggAC", 4: "TtC"}
     with pytest.raises(Exception, match="chr9"):
         genome.fetch(asked.withColumn("chrom", genome.F.lit("chr9")), chunks, size).collect()
+    with pytest.raises(Exception, match="chr9"):
+        genome.fetch(asked.limit(1).withColumn("chrom", genome.F.lit("chr9")).withColumn("w_start", genome.F.lit(900)), chunks, size).collect()
 
 
 def test_no_known_base_has_no_background(spark):
