@@ -25,9 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from helixframe.llm.bpe import default_vocabulary, parse_ranks
 from helixframe.llm.common import per_text, table
 
-MAX_NODES = 400_000
+MAX_NODES = 600_000
 MAX_PIECES = 300_000
 OFFSET = 2.7
+#: A score is cost << SHIFT | tokens: one integer that adds up and compares by cost, then by tokens.
+SHIFT = 40
+TOKENS = (1 << SHIFT) - 1
+NONE = 1 << 200
 
 
 def zipf_costs(n: int, offset: float = OFFSET) -> list[int]:
@@ -39,71 +43,79 @@ class PieceTrie:
     def __init__(self, ranks: dict[bytes, int]):
         costs = zipf_costs(max(ranks.values(), default=-1) + 1)
         self.vocabulary: dict[int, int] = {}
-        self.cost: list[int | None] = [None]
+        self.score: list[int] = [NONE]
         for token, rank in ranks.items():
             node = 0
             for byte in token:
                 key = node << 8 | byte
                 if (after := self.vocabulary.get(key)) is None:
-                    after = self.vocabulary[key] = len(self.cost)
-                    self.cost.append(None)
+                    after = self.vocabulary[key] = len(self.score)
+                    self.score.append(NONE)
                 node = after
-            self.cost[node] = costs[rank]
+            self.score[node] = costs[rank] << SHIFT | 1
         self.reset()
 
     def reset(self) -> None:
         self.child: dict[int, int] = {}
-        #: By node: (cost, tokens) of the prefix, and the vocabulary nodes reached from earlier ends with their scores.
-        self.best: list[tuple[int, int] | None] = [(0, 0)]
-        self.active: list[list] = [[(0, 0, 0)]]
+        #: By node: the score of its prefix (NONE if it can't be spelled), and the vocabulary nodes reached from earlier
+        #: ends with the scores there.
+        self.best: list[int] = [0]
+        self.active: list[list[tuple[int, int]]] = [[(0, 0)]]
 
     def grow(self, node: int, byte: int) -> int:
         """Add the child of a node: its forward score from the scores at all starts still open."""
-        step, cost_at, best, active = self.vocabulary.get, self.cost, None, []
-        for at, cost, tokens in self.active[node]:
-            if (after := step(at << 8 | byte)) is None:
-                continue
-            active.append((after, cost, tokens))
-            if (own := cost_at[after]) is not None and (best is None or (cost + own, tokens + 1) < best):
-                best = (cost + own, tokens + 1)
-        if best is not None:
-            active.append((0, *best))
+        step, score_at, best, active = self.vocabulary.get, self.score, NONE, []
+        for at, score in self.active[node]:
+            if (after := step(at << 8 | byte)) is not None:
+                active.append((after, score))
+                if (own := score + score_at[after]) < best:
+                    best = own
+        if best < NONE:
+            active.append((0, best))
         made = self.child[node << 8 | byte] = len(self.best)
         self.best.append(best)
         self.active.append(active)
         return made
 
-    def insert(self, piece: bytes) -> tuple[int, int]:
-        """(cost, tokens) at the terminal of a pre-token."""
+    def insert(self, piece: bytes) -> int:
+        """Score at the terminal of a pre-token."""
         node, child = 0, self.child.get
         for byte in piece:
             node = child(node << 8 | byte) or self.grow(node, byte)
-        if self.best[node] is None:
+        if self.best[node] >= NONE:
             raise ValueError("the vocabulary can't spell this text")
         return self.best[node]
 
 
+class Terminals(dict):
+    """Scores of the pre-tokens met, stored at their terminals; a new one is inserted in the trie. Dropped when full."""
+
+    def __init__(self, trie: PieceTrie):
+        self.trie = trie
+
+    def __missing__(self, piece: str) -> int:
+        if len(self.trie.best) > MAX_NODES:
+            self.trie.reset()
+        score = self.trie.insert(piece.encode("utf-8", "surrogateescape"))
+        if len(piece) <= 48:
+            if len(self) >= MAX_PIECES:
+                self.clear()
+            self[piece] = score
+        return score
+
+
 class Counter:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.trie = PieceTrie(ranks)
         self.find = regex.compile(pattern).findall
-        self.terminal: dict[str, tuple[int, int]] = {}
+        self.terminal = Terminals(PieceTrie(ranks))
 
     def counts(self, texts: list) -> list[tuple[int, int, int]]:
         """(pre-tokens, tokens, cost) of each text."""
-        split = [self.find((t or b"").decode("utf-8", "surrogateescape")) for t in texts]
-        fresh = set().union(*split).difference(self.terminal) if split else set()
-        if len(self.terminal) + len(fresh) > MAX_PIECES:
-            self.terminal = {}
-            fresh = set().union(*split)
-        for piece in fresh:
-            if len(self.trie.best) > MAX_NODES:
-                self.trie.reset()
-            self.terminal[piece] = self.trie.insert(piece.encode("utf-8", "surrogateescape"))
-        at, out = self.terminal, []
-        for pieces in split:
-            found = [at[p] for p in pieces]
-            out.append((len(found), sum([t for _, t in found]), sum([c for c, _ in found])))
+        at, out = self.terminal.__getitem__, []
+        for text in texts:
+            pieces = self.find((text or b"").decode("utf-8", "surrogateescape"))
+            total = sum(map(at, pieces))
+            out.append((len(pieces), total & TOKENS, total >> SHIFT))
         return out
 
 
