@@ -403,14 +403,16 @@ def merged(pieces: DataFrame) -> DataFrame:
 def repeated_intervals(keyed: DataFrame) -> DataFrame:
     """(k1, k2, spans): repeated intervals [a, b) of each text that has some, not yet merged."""
     all_runs = written(anchors(keyed), "suffix-anchors")
-    met = all_runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    # Written apart from the join: a join straight on its own counts would share their exchange, which can't be split
+    # where one anchor has many runs.
+    met = written(all_runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "suffix-met")
     again = written(all_runs.join(met, "h"), "suffix-again")
     place = F.struct("k1", "k2", "lo", "hi")
     kinds = again.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"), F.min(place).alias("place"))
     kinds = written(kinds, "suffix-kinds")
     whole = again.join(kinds.filter("m > 1").select("h", "c"), ["h", "c"])
     found = whole.select("k1", "k2", F.col("lo").alias("a"), (F.col("hi") + LENGTH).alias("b"))
-    several = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("nc")).filter("nc > 1")
+    several = written(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("nc")).filter("nc > 1"), "suffix-several")
     parts = F.ceil(F.col("nc") / SHARD_ITEMS).cast("int")
     items = kinds.join(several, "h").select("h", "c", "m", "place.*", parts.alias("parts"))
     items = items.withColumn("salt", F.pmod(F.col("c"), F.col("parts")).cast("int"))
