@@ -21,6 +21,7 @@ CASES = [
     (1, GOOD),
     (8, "é ü ß " * 40),
     (9, "long " * 30_000),
+    (10, (" ".join(f"t{i}" for i in range(60)) + " ") * 2 + "end"),
 ]
 
 
