@@ -84,10 +84,20 @@ def ranked_fold_change(regions: DataFrame, hits: DataFrame, control_share: float
         raise ValueError(f"a curve needs 100 regions, not {n}")
     reach = n // 100
     own = Window.partitionBy("motif_idx").orderBy(F.col("score").desc(), "region_id")
-    frame = own.rowsBetween(-reach, reach - 1)
     joined = hits.join(regions.select("region_id", "score"), "region_id").withColumn("has", (F.col("n_sites") > 0).cast("int"))
-    share = control_share or 1.0
-    return joined.select("motif_idx", "region_id", (F.row_number().over(own) - 1).alias("place"), (F.avg("has").over(frame) / share).alias("fold_change"))
+    # The frame [place - reach, place + reach) is a difference of running sums: a sliding frame would add up the whole
+    # frame anew for every row.
+    placed = joined.select(
+        "motif_idx",
+        "region_id",
+        "score",
+        (F.row_number().over(own) - 1).alias("place"),
+        F.sum("has").over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
+        F.sum("has").over(Window.partitionBy("motif_idx")).alias("total"),
+    )
+    hit = F.coalesce(F.lead("upto", reach - 1).over(own), F.col("total")) - F.coalesce(F.lag("upto", reach + 1).over(own), F.lit(0))
+    rows = F.least(F.col("place") + reach, F.lit(n)) - F.greatest(F.col("place") - reach, F.lit(0))
+    return placed.select("motif_idx", "region_id", "place", (hit / rows / (control_share or 1.0)).alias("fold_change"))
 
 
 def smoothed_curve(curve: DataFrame, n: int = TAPS) -> DataFrame:
