@@ -32,6 +32,7 @@ SYMBOLS = "#*$%&|<>"
 #: Trusted ids up to this number are broadcast (16 MB); more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
+WORK = ("_w", "_lines", "_h", "_s", "_r", "_m")
 OWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
 
 
@@ -146,6 +147,11 @@ def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """Every row of docs (doc_id, text, ...) with the rule counts, the mean log ratio and the verdict."""
+    # Columns that are named like a work column of the rules are set aside under another name.
+    aside = {c: f"{c}__aside" for c in docs.columns if c.lower() in WORK}
+    if aside:
+        got = quality_rules(docs.withColumnsRenamed(aside), labels, buckets, threshold)
+        return got.withColumnsRenamed({v: k for k, v in aside.items()})
     slim = trusted_rows(docs.select("doc_id", "text"), labels)
     counts = cell_counts(slim, F.col("trusted"), buckets)
     return score(docs, model(counts, buckets), buckets, threshold)

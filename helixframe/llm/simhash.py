@@ -261,7 +261,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     mine = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     stay = rows.filter(mine == F.col("keeper")).groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
     stay = written(stay.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "n"), "simhash-stay")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h"))
+    same = docs["doc_id"].eqNullSafe(stay["_id"]) & (F.xxhash64(docs["text"]) == stay["_h"])
     kept = docs.join(stay.hint("shuffle_hash"), same, "left_semi")
     if stay.filter("n > 1").isEmpty():
         return kept

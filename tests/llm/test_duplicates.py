@@ -112,11 +112,11 @@ def test_groups_of_a_table(spark):
 
 def test_one_row_of_each_group_stays(spark):
     rows = near_copies()
-    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, fp string")
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _id string")
     kept = S.deduplicated(df).collect()
     groups = dict(zip([t for _, t in rows], slow_components([slow_fingerprint(t) for _, t in rows])))
     assert sorted(groups[r["text"]] for r in kept) == sorted(set(groups.values()))
-    assert sum(r["doc_id"] == 10 for r in kept) == 1 and kept[0].asDict().keys() == {"doc_id", "text", "fp"}
+    assert sum(r["doc_id"] == 10 for r in kept) == 1 and kept[0].asDict().keys() == {"doc_id", "text", "_id"}
 
 
 # ---------------------------------------------------------------- repeated strings

@@ -52,6 +52,12 @@ def test_base_rules_match_brute_force(spark):
     assert [r["kept"] for r in got if r["text"] == GOOD] == [True] * 3
 
 
+def test_work_columns_may_be_taken(spark):
+    df = spark.createDataFrame([(1, GOOD, 5, "m")], "doc_id long, text string, _w int, _M string")
+    got = Q.quality_rules(df, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).first()
+    assert (got["_w"], got["_M"], got["n_words"], got["kept"]) == (5, "m", 120, True)
+
+
 def test_ratio_is_the_mean_of_the_cells(spark):
     import math
 
