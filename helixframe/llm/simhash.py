@@ -22,6 +22,7 @@ component's id only if the component has no other. Repeated rows are members eac
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -255,9 +256,9 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return rows.join(grouped(rows), "fp")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, members: Callable[[DataFrame], DataFrame] = simhash_components) -> DataFrame:
     """docs with one row of each component: the one of the least doc_id (then least text hash)."""
-    rows = written(simhash_components(docs), "simhash-members")
+    rows = written(members(docs).select("doc_id", "h", "keeper"), "simhash-members")
     mine = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     stay = rows.filter(mine == F.col("keeper")).groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
     stay = written(stay.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "n"), "simhash-stay")

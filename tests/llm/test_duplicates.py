@@ -210,3 +210,58 @@ def test_pieces_of_long_texts(monkeypatch):
             seen[a : b + 1] += 1
     assert (seen == 1).all()
     assert hashlib.sha256(text)
+
+
+# ---------------------------------------------------------------- near copies
+
+
+def slow_near(texts):
+    """Component number of each text, all pairs of five-word shingle sets compared."""
+    sets = []
+    for t in texts:
+        words = (t or "").lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set())
+    group = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b) and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    return group
+
+
+def edited_copies():
+    rnd = random.Random(21)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(900)]
+    texts = [None, "", " ", "one two", "One  TWO"]
+    for n, edits, copies in ((60, 1, 20), (200, 3, 12), (300, 12, 12), (80, 2, 25)):
+        base = [rnd.choice(words) for _ in range(n)]
+        for _ in range(copies):
+            own = list(base)
+            for _ in range(rnd.randint(0, edits)):
+                own[rnd.randrange(n)] = rnd.choice(words)
+            texts.append(" ".join(own))
+    return texts + [" ".join(rnd.choice(words) for _ in range(50)) for _ in range(20)] + texts[5:8]
+
+
+@pytest.mark.parametrize("block", [512, 5])
+def test_near_copies_match_all_pairs(spark, block):
+    """Small blocks force the stars and the pairs of blocks."""
+    from helixframe.llm import near_copies as N
+
+    texts = edited_copies()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["keeper"]["doc_id"] for r in N.near_components(df, block).collect()}
+    groups = slow_near(texts)
+    least = {}
+    for i, g in enumerate(groups):
+        least.setdefault(g, i)
+    assert [got[i] for i in range(len(texts))] == [least[g] for g in groups]
+    assert N.near_components(df.limit(0)).count() == 0
+
+
+def test_the_stage_removes_edited_copies(spark):
+    import corpus_pipeline
+
+    texts = edited_copies()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert corpus_pipeline.near_duplicates(spark, df, "").count() == len(set(slow_near(texts)))
