@@ -8,8 +8,8 @@ full, however many copies there are. What is left are different contexts of one
 repeats): their bytes, one context each, go to shards.
 
 A shard is decided by its suffix array: Larsson-Sadakane refinement in numpy (groups by the first 8 bytes, then
-doubling, only groups not yet sorted), Kasai's common prefixes in parallel lanes, and runs of suffixes with LENGTH bytes
-in common. An anchor with more than `SHARD_ITEMS` contexts is split over several shards; these write the sorted
+doubling, only groups not yet sorted, until none is left), Kasai's common prefixes in parallel lanes, and runs of
+suffixes with LENGTH bytes in common. An anchor with more than `SHARD_ITEMS` contexts is split over several shards; these write the sorted
 hashes of the windows that they could not decide, cut in ranges by binary search, and a range's arrays are merged by binary
 search again. No key, however frequent, meets in one task.
 
@@ -157,10 +157,11 @@ def words8(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, rank) with suffixes told apart by at least `depth` bytes, by refinement of groups.
+def suffix_array(data: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix array, rank) with suffixes told apart by at least `depth` bytes (all of them if none), by refinement of groups.
 
-    rank is the place of the last member of a suffix's group; groups of one are sorted and never touched again.
+    Only the full order is fit for Kasai's rule: suffixes tied at `depth` lie in the order of their places. rank is the
+    place of the last member of a suffix's group; groups of one are sorted and never touched again.
     """
     n = len(data)
     key = words8(data)
@@ -178,14 +179,15 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     places = np.arange(n)
     size = number(places, np.concatenate([[True], ordered[1:] != ordered[:-1]])) if n else np.zeros(0, int)
     k = 8
-    while k < depth:
+    while depth is None or k < depth:
         places = places[size > 1]
         if not len(places):
             break
         at = sa[places]
         own = rank[at]
-        ahead = np.where(at + k < n, rank[np.minimum(at + k, n - 1)] + 1, 0)
-        order = np.argsort(own * (n + 1) + ahead, kind="stable")
+        # Past the end the shorter suffix comes first, so that zero bytes at the end leave no tie.
+        ahead = np.where(at + k < n, rank[np.minimum(at + k, n - 1)] + 1, n - at - k)
+        order = np.argsort(own * (n + 1 + k) + ahead, kind="stable")
         sa[places] = at[order]
         own, ahead = own[order], ahead[order]
         size = number(places, np.concatenate([[True], (own[1:] != own[:-1]) | (ahead[1:] != ahead[:-1])]))
@@ -247,7 +249,7 @@ def repeated_starts(items: list[bytes]) -> list[np.ndarray]:
     valid = np.zeros(len(data), bool)
     for a, b in zip(starts, ends):
         valid[a : b - LENGTH + 1] = True
-    sa, _ = suffix_array(data, LENGTH)
+    sa, _ = suffix_array(data)
     lcp = common_prefixes(data, sa, LENGTH)
     group = np.cumsum(lcp < LENGTH) - 1
     sorted_valid = valid[sa]

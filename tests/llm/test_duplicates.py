@@ -265,3 +265,26 @@ def test_the_stage_removes_edited_copies(spark):
     texts = edited_copies()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert corpus_pipeline.near_duplicates(spark, df, "").count() == len(set(slow_near(texts)))
+
+
+def test_stretches_longer_than_the_first_doublings():
+    """Pairs that share 260 to 330 bytes among many unique contexts: nothing unique is called repeated."""
+    for seed in (2, 8, 11, 12, 13):
+        rnd = random.Random(seed)
+        prose = lambda n: bytes(rnd.choice(b"etaoin shrdlu") for _ in range(n))
+        items = []
+        for _ in range(60):
+            shared = prose(rnd.randint(260, 330))
+            items += [shared + prose(20), shared + prose(20)]
+        items += [prose(rnd.randint(200, 280)) for _ in range(300)]
+        rnd.shuffle(items)
+        count = Counter(x[i : i + 200] for x in items for i in range(len(x) - 199))
+        for x, got in zip(items, D.repeated_starts(items)):
+            assert got.tolist() == [count[x[i : i + 200]] > 1 for i in range(len(x) - 199)]
+
+
+def test_suffixes_are_ordered_in_full():
+    rnd = random.Random(12)
+    for data in (b"\0" * 50, b"ab" * 400, b"x\0\0x\0\0\0", bytes(rnd.choice(b"\0a") for _ in range(700)) + b"\0" * 20, b"q" * 600):
+        sa, _ = D.suffix_array(np.frombuffer(data, np.uint8))
+        assert sa.tolist() == sorted(range(len(data)), key=lambda i: data[i:])
