@@ -1,6 +1,8 @@
 """Random sequences and control regions, drawn by integer hashes of row numbers: the same for any partitioning.
 
 A draw is ((id * 48271 + seed) mod M) * 69621 mod M with M = 2^31 - 1, scaled to its range; it is available in any SQL.
+Draws of one id under neighbouring seeds are nearly the same number, so two draws that have to be independent are taken
+from `hashed` (XXH64 of id, stream and seed).
 """
 
 from __future__ import annotations
@@ -25,11 +27,20 @@ def below(number: Column, seed: int, limit: Column) -> Column:
     return F.floor(draw(number, seed) * limit.cast("decimal(20,0)") / F.lit(MODULUS).cast("decimal(20,0)")).cast("long")
 
 
-def random_windows(sizes: DataFrame, n: int, length: int, seed: int = 0, pieces: int = 1024) -> DataFrame:
+def hashed(number: Column, stream: int, seed: int, limit: Column) -> Column:
+    """Integer in [0, limit), independent between streams and between seeds."""
+    part = F.shiftrightunsigned(F.xxhash64(number, F.lit(stream), F.lit(seed).cast("long")), 4)
+    # The quotient is rounded at some decimals: the very last parts must not reach the limit.
+    scaled = F.floor(part.cast("decimal(19,0)") * limit.cast("decimal(18,0)") / F.lit(1 << 60).cast("decimal(19,0)")).cast("long")
+    return F.least(scaled, limit - 1)
+
+
+def random_windows(sizes: DataFrame, n: int, length: int, seed: int = 0, pieces: int = 1024, plain: bool = False) -> DataFrame:
     """(draw_id, chrom, w_start, w_end): chromosomes drawn by size, starts uniform in [0, size - length).
 
     A draw in [0, total) falls in one chromosome's stretch. Stretches and draws meet by piece of the whole, so the join
-    has an equality and no chromosome's draws meet in one task.
+    has an equality and no chromosome's draws meet in one task. `plain` takes both draws from `draw`, as the SQL of
+    random_background does; each chromosome is then sampled only in the slice of its length that it has of the whole.
     """
     spark = sizes.sparkSession
     order = Window.orderBy("chrom")
@@ -40,12 +51,14 @@ def random_windows(sizes: DataFrame, n: int, length: int, seed: int = 0, pieces:
         raise ValueError("there is no sequence to draw from")
     width = -(-total // pieces)
     stretch = stretch.withColumn("piece", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
-    draws = spark.range(n).select(F.col("id").alias("draw_id"), below(F.col("id"), seed, F.lit(total)).alias("at"))
+    at = below(F.col("id"), seed, F.lit(total)) if plain else hashed(F.col("id"), 0, seed, F.lit(total))
+    draws = spark.range(n).select(F.col("id").alias("draw_id"), at.alias("at"))
     draws = draws.withColumn("at_piece", F.floor(F.col("at") / width))
     met = draws.join(small(stretch), (F.col("at_piece") == F.col("piece")) & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
     room = F.col("size") - length
     short = F.raise_error(F.concat(F.lit("chromosome too short: "), F.col("chrom"))).cast("long")
-    start = F.when(room > 0, below(F.col("draw_id"), seed + 1, room)).otherwise(short)
+    place = below(F.col("draw_id"), seed + 1, room) if plain else hashed(F.col("draw_id"), 1, seed, room)
+    start = F.when(room > 0, place).otherwise(short)
     return met.select("draw_id", "chrom", start.alias("w_start")).withColumn("w_end", F.col("w_start") + length)
 
 

@@ -458,7 +458,7 @@ d AS (SELECT range AS draw_id, {below_sql('range', 5, '(SELECT sum(length(text))
 SELECT d.draw_id, st.chrom, {below_sql('d.draw_id', 6, '(st.size - 8)')} AS w_start, {below_sql('d.draw_id', 6, '(st.size - 8)')} + 8 AS w_end FROM d JOIN st ON d.at >= st.hi - st.size AND d.at < st.hi"""
 )
 def random_background(spark, sf):
-    return R.random_windows(A.sizes(spark, sf).filter("size > 8"), 20_000, 8, 5)
+    return R.random_windows(A.sizes(spark, sf).filter("size > 8"), 20_000, 8, 5, plain=True)
 
 
 @query(

@@ -191,3 +191,17 @@ def test_checks(spark):
     names = ["chr1", "chrX", "chrM", "chrUn_1", "chr2_random", "chr6_hap", "chr1_alt", "chr10"]
     kept = spark.createDataFrame([(n,) for n in names], "chrom string").filter(is_autosome(F.col("chrom")))
     assert [x["chrom"] for x in kept.collect()] == ["chr1", "chr10"]
+
+
+def test_random_windows_cover_every_chromosome(spark):
+    sizes = spark.createDataFrame([("a", 3_000_000_000), ("b", 1_000_000_000), ("c", 500_000_000)], "chrom string, size long")
+    got = R.random_windows(sizes, 20_000, 10, seed=3).collect()
+    again = {r["draw_id"]: r["w_start"] for r in R.random_windows(sizes, 20_000, 10, seed=4).collect()}
+    size = {r["chrom"]: r["size"] for r in sizes.collect()}
+    for chrom, n in size.items():
+        tenths = [10 * r["w_start"] // n for r in got if r["chrom"] == chrom]
+        share = len(tenths) / 10
+        assert abs(10 * share - 20_000 * n / 4_500_000_000) < 400
+        assert all(0.75 * share < tenths.count(k) < 1.25 * share for k in range(10))
+    # Repeats under the next seed are another sample.
+    assert sum(abs(again[r["draw_id"]] - r["w_start"]) < 1_000_000 for r in got) < 200
