@@ -4,11 +4,12 @@ Base detectors look for e-mail addresses, IPv4 addresses, payment cards and tele
 is (leftmost, not overlapping, per kind; matches that fail the check of their kind are dropped without retry).
 Then a transducer rewrites the text, keeping for each written character the source span that it stands for:
 homoglyphs and other scripts' digits become ASCII, invisible characters go, runs of spelled digits become digits,
-at and dot disguises become "@" and ".". The detectors run over the rewritten text, and what they find is mapped
-back to source characters. A found span that overlaps a base span of its kind is dropped; base spans always stay.
+at and dot disguises (dots also before the at sign) become "@" and ".". The detectors run over the rewritten text, and what they find is mapped
+back to source characters. A found span that overlaps a base span of its kind is dropped; base spans always stay, so
+disguised dots before a plain address are not added to it.
 
 A bare word "at" counts as a disguise only with a disguised dot after it, or when the name before it holds a digit, a
-dot or an underscore and a plain domain follows; digit words only in runs of `MIN_RUN` digits or more.
+(disguised) dot or an underscore and a plain domain follows; digit words only in runs of `MIN_RUN` digits or more.
 
 Defined results: a null text has no spans. Spans are code points of the text, end exclusive. All scans are linear
 in the text, whatever its length.
@@ -81,8 +82,12 @@ DISGUISED = re.compile(
 )
 DOTS = re.compile(rf"{DOT}|\s{{1,3}}dot\s{{1,3}}", re.I)
 #: What a disguised at or dot can look like in lower case, white space made spaces; cheap tests before the rewriting.
-MARKS = ("dot", "[at", "(at", "{at", "<at", "[ at", "( at", "{ at", "< at", "[@", "(@", "{@", "<@", "[.", "(.", "{.", "<.")
+MARKS = ("dot", "[at", "(at", "{at", "<at", "[ at", "( at", "{ at", "< at", "[@", "(@", "{@", "<@", "[.", "(.", "{.", "<.", "[ @", "( @", "{ @", "< @", "[ .", "( .", "{ .", "< .")
+#: One disguised dot with the name before it, ending where the local part so far begins.
+NAME = re.compile(rf"(?P<name>[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*)(?P<dot>{DOT}|\s{{1,3}}dot\s{{1,3}})\Z", re.I)
+ENDS = frozenset("])}> \t\n\x0b\f\r")
 BARE = re.compile(r" at +[\w-]+\.\w")
+BLANK = re.compile(r"[^\S ]")
 IP_DOTS = re.compile(rf"(?<=[0-9])(?:{DOT}|\s{{1,3}}dot\s{{1,3}})(?=[0-9])", re.I)
 
 Span = tuple[str, int, int]
@@ -166,8 +171,20 @@ class Rewritten:
                     edits.append((m.end(), after.start(), ""))
         self.apply(edits)
 
+    def dots_before(self, at: int, free: int) -> list[tuple[int, int]]:
+        """Disguised dots of a local part, read back from its last plain piece, not beyond free."""
+        out: list[tuple[int, int]] = []
+        while at > free and self.text[at - 1] in ENDS:
+            shift = max(free, at - 144)
+            if (m := NAME.search(self.text[shift:at])) is None:
+                break
+            out.append((shift + m.start("dot"), shift + m.end("dot")))
+            at = shift + m.start("name")
+        return out
+
     def at_dot(self) -> None:
         edits = [(m.start(), m.end(), ".") for m in IP_DOTS.finditer(self.text)]
+        free = 0
         for m in DISGUISED.finditer(self.text):
             host = m["host"] or m["host2"]
             first = m.start("host") if m["host"] else m.start("host2")
@@ -177,13 +194,15 @@ class Rewritten:
             while start and self.text[start - 1] in LOCAL and before - start < 128:
                 start -= 1
             name = self.text[start:before]
+            chain = self.dots_before(start, free) if name else []
+            free = m.end()
             if not name or (m["real"] and not dots):
                 continue
-            if m["bare"] and not dots and not re.search(r"[0-9._]", name.strip(".")):
+            if m["bare"] and not dots and not chain and not re.search(r"[0-9._]", name.strip(".")):
                 continue
             if not m["real"]:
                 edits.append((m.start(), first, "@"))
-            edits += [(first + d.start(), first + d.end(), ".") for d in dots]
+            edits += [(a, b, ".") for a, b in chain] + [(first + d.start(), first + d.end(), ".") for d in dots]
         kept, at = [], 0
         for e in sorted(edits):
             if e[0] >= at:
@@ -203,13 +222,6 @@ def has_odd(text: str) -> bool:
     return "\u00ad" in text or "\u00a0" in text or "\u00b7" in text
 
 
-def has_spelled(low: str) -> bool:
-    """Two neighbouring words are digit words (or one next to a digit) in lower-cased text."""
-    words = low.replace(",", " ").replace("-", " ").replace(".", " ").split()
-    found = [i for i, w in enumerate(words) if w in VALUE]
-    return any(i + 1 < len(words) and (words[i + 1] in VALUE or words[i + 1][0] in "0123456789") for i in found)
-
-
 def has_marks(low: str) -> bool:
     return any(m in low for m in MARKS) or (" at " in low and BARE.search(low) is not None)
 
@@ -218,8 +230,7 @@ def disguised(text: str, base: list[Span]) -> list[Span]:
     """Spans that the detectors find only in the rewritten text."""
     odd = has_odd(text)
     if not odd:
-        low = text.lower().replace("\n", " ").replace("\t", " ").replace("\r", " ")
-        if not has_marks(low) and not has_spelled(low):
+        if not has_marks(BLANK.sub(" ", text.lower())) and SPELLED.search(text) is None:
             return []
     r = Rewritten(text)
     if odd:

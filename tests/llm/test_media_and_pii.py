@@ -123,3 +123,22 @@ def test_pii_of_a_table(spark):
     red = {r["doc_id"]: r for r in P.redacted_documents(docs).collect()}
     assert red[1]["text"] == "a [EMAIL] [PHONE] x" and red[1]["n_chars"] == 19 and red[2]["text"] is None and red[4]["text"] == "[EMAIL], [IP]"
     assert P.pii_spans(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, kind, found",
+    [
+        ("write john [dot] doe [at] example [dot] com now", "email", "john [dot] doe [at] example [dot] com"),
+        ("to jane dot smith at mail dot org.", "email", "jane dot smith at mail dot org"),
+        ("a dot b (dot) c dot d@mail dot org", "email", "a dot b (dot) c dot d@mail dot org"),
+        ("x joe [ @ ] mail.org", "email", "joe [ @ ] mail.org"),
+        ("call plus onefivefivefiveonetwothreefourfivesixseven ok", "phone", "plus onefivefivefiveonetwothreefourfivesixseven"),
+    ],
+)
+def test_disguises_before_the_at_sign_and_without_gaps(text, kind, found):
+    assert [(k, text[a:b]) for k, a, b in P.find(text)[1]] == [(kind, found)]
+
+
+def test_long_chains_of_dots_are_linear():
+    for t in ("a dot " * 20_000 + "b at c dot org", "a dot b at c dot d " * 10_000, "a dot b@c " * 20_000):
+        P.find(t)
