@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,6 +16,9 @@ from pyspark.sql.types import StructType
 #: Separators of words: space and the code points 9 to 13. Everything else is part of a word.
 WHITE = " \t\n\x0b\f\r"
 
+#: The same as a pattern of runs.
+SEPARATORS = r"[\x20\x09-\x0D]+"
+
 #: Text bytes that one step of an Arrow kernel handles at once.
 STEP_BYTES = 4 << 20
 
@@ -24,16 +28,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); set here only where the session has none, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir); set here only where the session has none and runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='helixframe-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def forget_at_end(spark: SparkSession, path: str) -> None:
+    """The JVM removes the table at path when it ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back.
 
@@ -42,16 +52,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    forget_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def words(text: Column) -> Column:
     """Array of the maximal runs of non-separators; null text has none."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), WHITE, " " * len(WHITE))
-    return F.filter(F.split(spaced, " "), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")
+
+
+def set_aside(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(docs with all columns but `keep` under names of no operator, what gives the columns of docs back, in order).
+
+    So an operator's own columns can't meet a column of docs of the same name.
+    """
+    names = {c: c if c in keep else f"aside_{i}__" for i, c in enumerate(docs.columns)}
+    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return renamed, lambda df: df.select(*[F.col(f"`{n}`").alias(c) for c, n in names.items()])
 
 
 def crc_fold(doc_id: Column, folds: int) -> Column:

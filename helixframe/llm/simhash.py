@@ -16,12 +16,15 @@ split leaves 13 free bits, so at most 8192 distinct fingerprints.
 Components come from alternating large-star and small-star rounds over written edge tables, with hubs split by the
 skew join. Nothing about single documents reaches the driver.
 
-Defined results: null and empty texts have fingerprint 0 and link like any other. A null doc_id takes part; it is a
-component's id only if the component has no other. Repeated rows are members each; `deduplicated` keeps one.
+Defined results: null and empty texts have fingerprint 0 and link like any other; very long texts are read whole, their
+votes added up in parts. A bit with as many set as unset votes is 0. A null doc_id takes part; it is a
+component's id only if the component has no other. Repeated rows are members each; `deduplicated` keeps one. An empty table
+gives an empty table. Columns of any name pass `deduplicated`; fingerprints take doc_id and text alone.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from itertools import combinations
 
@@ -257,18 +260,21 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, members: Callable[[DataFrame], DataFrame] = simhash_components) -> DataFrame:
-    """docs with one row of each component: the one of the least doc_id (then least text hash)."""
+    """docs with one row of each component: that of the least doc_id, then text hash, then all other columns that have an order."""
     rows = written(members(docs).select("doc_id", "h", "keeper"), "simhash-members")
     mine = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     stay = rows.filter(mine == F.col("keeper")).groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
     stay = written(stay.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "n"), "simhash-stay")
-    same = docs["doc_id"].eqNullSafe(stay["_id"]) & (F.xxhash64(docs["text"]) == stay["_h"])
-    kept = docs.join(stay.hint("shuffle_hash"), same, "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_h"))
+    kept = keyed.join(stay.hint("shuffle_hash"), F.col("own_id").eqNullSafe(F.col("_id")) & (F.col("own_h") == F.col("_h")))
     if stay.filter("n > 1").isEmpty():
-        return kept
-    # Some kept rows are there more than once; one of each goes on.
-    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
-    return kept.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+        return kept.select("row.*")
+    # Some kept rows are there more than once; the least of each goes on.
+    kinds = [f for f in docs.schema.fields if not re.search("map<|variant|interval", f.dataType.simpleString())]
+    order = F.struct(*[F.col(f"row.`{f.name}`").alias(f"c{i}") for i, f in enumerate(kinds)])
+    least = kept.filter("n > 1").groupBy("_id", "_h").agg(F.min_by("row", order).alias("row"))
+    return kept.filter("n = 1").select("row").unionByName(least.select("row")).select("row.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

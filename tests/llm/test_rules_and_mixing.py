@@ -114,8 +114,8 @@ def test_mix_equals_plain_sampling(spark):
     """The bucketed cut takes what sorting each source's documents by key takes."""
     df = spark.createDataFrame([(i, "w " * (1 + i * i % 13), "s" + str(i % 3)) for i in range(600)], "doc_id long, text string, source string")
     keys = X.keyed(df).collect()
-    for buckets in (1, 8, 4096):
-        got = {r["doc_id"]: r for r in X.mix(spark.createDataFrame(keys), buckets=buckets).collect()}
+    for buckets, few in ((2, 5), (8, 1), (4096, 20_000)):
+        got = {r["doc_id"]: r for r in X.mix(spark.createDataFrame(keys), buckets=buckets, few=few).collect()}
         for s in ("s0", "s1", "s2"):
             own = sorted((r for r in keys if r["source"] == s), key=lambda r: r["key"])
             total, target = sum(r["size"] for r in own), got[own[0]["doc_id"]]["target"]
@@ -133,6 +133,22 @@ def test_mix_of_nothing(spark):
     assert [(r["size"], r["target"], r["taken"]) for r in only] == [(0, 0.0, 0)] * 2
 
 
+def test_equal_rows_are_divided_by_the_cut(spark):
+    """Rows of one id and text have one key: as many of them are taken as fit, whatever else stands in the row."""
+    rows = [(1, "a b c d", "s", k, "c", -1) for k in range(4)] + [(2, "w " * 8, "t", 0, "c", -1), (None, None, "t", 0, "c", -1), (3, "", None, 0, "c", -1)]
+    columns = "doc_id long, text string, source string, copies int, `row` string, key int"
+    df = spark.createDataFrame(rows, columns).repartition(3)
+    per_row = mixed(df).collect()
+    got = X.mixed_documents(df)
+    assert got.columns == df.columns and set(got.collect()) <= set(df.collect())
+    # 24 words make 36: weights 3 and 1 give s 27, that is one epoch and the three of its four rows whose middle is within 11.
+    assert sum(r["taken"] for r in per_row if r["source"] == "s") == 28
+    assert sum(r["doc_id"] == 1 for r in got.collect()) == 7
+    half = spark.createDataFrame([(1, "a b c d", "s", k, "c", -1) for k in range(5)], columns)
+    assert sum(r["taken"] for r in mixed(half).collect()) == 32 and X.mixed_documents(half).count() == 8
+    assert X.mixed_documents(df.limit(0)).count() == 0
+
+
 def test_native_plans_have_no_python(spark, sf):
     for name, f in (("rules", Q.op1_quality_rules), ("mix", X.op7_mixing)):
         plan = f(spark, sf)._jdf.queryExecution().toString()
