@@ -142,3 +142,78 @@ def test_disguises_before_the_at_sign_and_without_gaps(text, kind, found):
 def test_long_chains_of_dots_are_linear():
     for t in ("a dot " * 20_000 + "b at c dot org", "a dot b at c dot d " * 10_000, "a dot b@c " * 20_000):
         P.find(t)
+
+
+PIECES = ["john", "dot", " dot ", " [dot] ", "(.)", " ", "at", " at ", " [at] ", "@", "mail", ".", "..", "org", "one two three four", "uno punto dos punto tres punto cuatro", "plus ", "fouroneonefive", "1", "192", "​", "а", "٣", " ", "\n", "x_y", "7", "{@}", "seven"]
+
+
+def test_skipping_the_rewriting_changes_nothing(monkeypatch):
+    """What may_change() lets go unread has nothing to find."""
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice(PIECES) for _ in range(rnd.randint(1, 14))) for _ in range(20_000)]
+    got = [P.find(t) for t in texts]
+    monkeypatch.setattr(P, "may_change", lambda text: True)
+    assert got == [P.find(t) for t in texts] and any(len(a) < len(b) for a, b in got)
+
+
+def test_characters_far_from_a_disguise_change_nothing():
+    for text in ("mi ip uno punto dos punto tres punto cuatro fin", "one point two point three point four", "jo [dot] e [at] mail [dot] org"):
+        plain = P.find(text)[1]
+        assert plain and all(P.find(text + tail)[1] == plain for tail in (" ", " dot", " а"))
+    long = "a" * 400
+    for name in (long + "7", "7" + long, long + ".b"):
+        assert P.find(f"{name} at mail.org")[1] == [("email", 0, len(name) + 12)]
+    assert P.find(f"{long} [dot] b [at] mail [dot] org")[1] == [("email", 0, 400 + len(" [dot] b [at] mail [dot] org"))]
+
+
+def slow_map(text, passes):
+    """Rewriting with one source span a character, edit by edit."""
+    chars = [(c, i, i + 1) for i, c in enumerate(text)]
+    for edits in passes:
+        for a, b, sign in reversed(edits):
+            chars[a:b] = [(c, chars[a][1], chars[b - 1][2]) for c in sign]
+    return "".join(c for c, _, _ in chars), [(a, b) for _, a, b in chars]
+
+
+def test_offsets_match_one_span_a_character():
+    rnd = random.Random(6)
+    for _ in range(2000):
+        text = "".join(rnd.choice("abcdef") for _ in range(rnd.randint(1, 40)))
+        r, passes, n = P.Rewritten(text), [], len(text)
+        for _ in range(3):
+            cuts = sorted(rnd.sample(range(n + 1), min(2 * rnd.randint(0, 4), (n + 1) // 2 * 2)))
+            edits = [(a, b, rnd.choice(["", "X", "Y"])) for a, b in zip(cuts[::2], cuts[1::2])]
+            passes.append(edits)
+            r.apply([e[0] for e in edits], [e[1] for e in edits], [e[2] for e in edits])
+            n = len(r.text)
+        want, spans = slow_map(text, passes)
+        assert r.text == want and [r.span(i, i + 1) for i in range(len(want))] == spans
+
+
+def test_a_very_long_text_takes_little_room():
+    import tracemalloc
+
+    text = "clean words go here аnd so on " * 160_000 + "joe [at] mail [dot] org"
+    tracemalloc.start()
+    assert P.find(text)[1] == [("email", len(text) - 23, len(text))]
+    assert tracemalloc.get_traced_memory()[1] < 20 * len(text)
+    tracemalloc.stop()
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    good = " ".join(f"word{i} and then" for i in range(40))
+    names = ["doc_id", "lang", "source", "text", "n_chars", "spans", "redacted", "kept", "n_words", "llr", "_w", "_m", "row", "copies", "key", "size", "h", "u", "keys", "n", "_id", "_h", "own_id", "cut", "target", "text_bytes", "n_email"]
+    rows = [(i, "en", "s", t, 1, *(f"{n}{i}" for n in names[5:])) for i, t in ((1, good), (2, good + " mail joe@mail.org now"), (2, good + " mail joe@mail.org now"), (3, None))]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string, n_chars long, " + ", ".join(f"`{n}` string" for n in names[5:]))
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, quality int")
+
+    class Spark:
+        read = type("R", (), {"parquet": staticmethod(lambda path: labels)})
+
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(Spark if name == "quality rules" else spark, df, "")
+        assert got.columns == names, name
+        got = got.collect()
+        assert got and all(r[n] == f"{n}{r['doc_id']}" for r in got for n in names[5:]), name
