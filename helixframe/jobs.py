@@ -100,6 +100,25 @@ def install_motifs(catalog: Catalog, name: str, files: Sequence[str], path: str
     return path
 
 
+def random_sequences(genome: Genome, n: int, length: int, most_unknown: int = 0, seed: int = 0) -> DataFrame:
+    """(draw_id, seq) of the first n draws whose windows have few unknown bases.
+
+    Draws go on in rounds, sized by the share accepted so far, until there are n; a round that accepts none raises. The rows
+    are those up to the n-th accepted number, so that no task has to gather them.
+    """
+    found, first, count, more = None, 0, 0, n + n // 16 + 100
+    while count < n:
+        drawn = R.random_windows(genome.table("sizes"), more, length, seed, first=first)
+        accepted = G.fetch(drawn, genome.table("chunks")).filter(few_unknown(F.col("seq"), most_unknown)).select("draw_id", "seq")
+        got = accepted.count()
+        if not got:
+            raise ValueError(f"none of {more} random windows of genome {genome.name!r} has {most_unknown} unknown bases or fewer")
+        found = accepted if found is None else found.unionByName(accepted)
+        first, count = first + more, count + got
+        more = (n - count) * first // count + (n - count) // 8 + 100
+    return found.filter(F.col("draw_id") <= R.nth_smallest(found.select("draw_id"), n))
+
+
 def build_motifs(spark: SparkSession, catalog: Catalog, name: str, genome_name: str, n: int = 1_000_000, repeats: int = 1, most_unknown: int = 0, seed: int | None = None) -> list[Pwm]:
     """Weights from counts, and cutoffs from the scores of random sequences, averaged over repeats."""
     genome = Genome(spark, genome_name, catalog)
@@ -110,9 +129,7 @@ def build_motifs(spark: SparkSession, catalog: Catalog, name: str, genome_name:
     length = max(m.length for m in pwms)
     parts = []
     for r in range(repeats):
-        # More draws than asked for, so that enough are left when those with unknown bases are gone.
-        drawn = R.random_windows(genome.table("sizes").filter(F.col("size") > length), 2 * n + 100, length, (seed or 0) + r)
-        seqs = G.fetch(drawn, genome.table("chunks")).filter(few_unknown(F.col("seq"), most_unknown)).orderBy("draw_id").limit(n)
+        seqs = random_sequences(genome, n, length, most_unknown, (seed or 0) + r)
         scores = prefix_scores(seqs.select(F.col("draw_id").alias("region_id"), "seq"), pwms)
         parts.append(C.score_cutoffs(scores).drop("raw"))
     every = parts[0]
@@ -133,9 +150,12 @@ def built_motifs(catalog: Catalog, name: str, genome: str) -> list[Pwm]:
 
 def scan_regions(
     spark: SparkSession, catalog: Catalog, regions_path: str, motif_set: str, genome_name: str, out: str, *, region_format: str = "bed", p_value: str = "1e-4", location: str | None = None, upstream: int = 4000,
-    downstream: int = 2000, width: int = 1000, strand: str = "both", enrich: bool = True, n_random: int = 5, seed: int | None = None, control_path: str | None = None, control_format: str = "bed", beds: bool = False, profiles: bool = False,
+    downstream: int = 2000, width: int = 1000, strand: str = "both", enrich: bool = True, n_random: int = 5, seed: int | None = None, control_path: str | None = None, control_format: str = "bed", beds: bool = False, bed_files: bool = True, profiles: bool = False,
 ) -> dict[str, DataFrame]:
-    """The scan command: site tables, and unless told otherwise the enrichment against control regions."""
+    """The scan command: site tables, and unless told otherwise the enrichment against control regions.
+
+    Sites go to one BED file a motif, or, with bed_files=False, to folders that the executors write.
+    """
     genome = Genome(spark, genome_name, catalog)
     pwms = built_motifs(catalog, motif_set, genome_name)
     sizes, chunks, genes = genome.table("sizes"), genome.table("chunks"), genome.genes
@@ -158,7 +178,7 @@ def scan_regions(
     sites = spark.read.parquet(os.path.join(out, "_sites"))
     sinks.site_tables(out, regions, sites, pwms)
     if beds:
-        sinks.site_bed_files(out, regions, sites, pwms)
+        (sinks.site_bed_files if bed_files else sinks.site_beds)(out, regions, sites, pwms)
     result = {"regions": regions, "sites": sites}
     if enrich:
         if control_path:

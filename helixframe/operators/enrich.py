@@ -23,14 +23,31 @@ def fisher(a: int, b: int, c: int, d: int) -> tuple[float, float]:
     if low == high:
         return 1.0, 1.0
     whole = log_choose(total, column)
-
-    def tail(first: int, last: int, step: int) -> float:
-        # From the observed cell outwards: each probability follows from the one before; beyond the mode they shrink fast.
-        logs = [log_choose(row, x) + log_choose(total - row, column - x) - whole for x in range(first, last + step, step)]
-        top = max(logs)
-        return min(1.0, math.exp(top) * math.fsum(math.exp(v - top) for v in logs))
-
-    return tail(a, high, 1), tail(a, low, -1)
+    mode = (row + 1) * (column + 1) // (total + 2)
+
+    def tail(x: int, last: int, step: int) -> float:
+        """Sum from a cell outwards, away from the mode: each term follows from the one before, until they vanish."""
+        if (last - x) * step < 0:
+            return 0.0
+        terms, term = [1.0], 1.0
+        while x != last:
+            up = x if step > 0 else x - 1
+            ratio = (row - up) * (column - up) / ((up + 1) * (total - row - column + up + 1))
+            term *= ratio if step > 0 else 1 / ratio
+            if term < 1e-20:
+                break
+            terms.append(term)
+            x += step
+        return math.fsum(terms)
+
+    def scaled(x: int, last: int, step: int) -> float:
+        log = log_choose(row, x) + log_choose(total - row, column - x) - whole if low <= x <= high else 0.0
+        return min(1.0, math.exp(log) * tail(x, last, step))
+
+    # The tail that holds the mode is the rest of the other one.
+    if a > mode:
+        return scaled(a, high, 1), min(1.0, 1.0 - scaled(a + 1, high, 1))
+    return min(1.0, 1.0 - scaled(a - 1, low, -1)), scaled(a, low, -1)
 
 
 def _fisher_rows(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:

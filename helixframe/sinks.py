@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from itertools import groupby
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from helixframe.functions.matrix import Pwm
 from helixframe.operators.sites import bed_rows, wide
@@ -42,11 +42,13 @@ def site_beds(out: str, regions: DataFrame, sites: DataFrame, pwms: Sequence[Pwm
 
 
 def site_bed_files(out: str, regions: DataFrame, sites: DataFrame, pwms: Sequence[Pwm]) -> None:
-    """One BED file a motif."""
-    rows = bed_rows(regions, sites, pwms)
-    for (name,) in rows.select("motif_file").distinct().toLocalIterator():
-        own = rows.filter(F.col("motif_file") == name).orderBy("region_id", "start").select("chrom", "start", "end", "name", "score", "strand")
-        as_file(own, os.path.join(out, SITES, f"{name}_sites.bed"))
+    """One BED file a motif: one sorted pass for all of them, streamed by partition; `site_beds` writes in parallel."""
+    rows = bed_rows(regions, sites, pwms).orderBy("motif_file", "region_id", "start")
+    os.makedirs(os.path.join(out, SITES), exist_ok=True)
+    own = rows.select("motif_file", "chrom", "start", "end", "name", "score", "strand").toLocalIterator()
+    for name, group in groupby(own, lambda r: r["motif_file"]):
+        with open(os.path.join(out, SITES, f"{name}_sites.bed"), "w") as f:
+            f.writelines("\t".join(map(str, r[1:])) + "\n" for r in group)
 
 
 def enrichment_table(out: str, ranked: DataFrame) -> None:

@@ -43,19 +43,25 @@ def fasta_chunks(lines: Iterator[str], size: int = CHUNK) -> Iterator[tuple[str,
 
 
 def read_fasta(spark: SparkSession, *paths: str, size: int = CHUNK) -> DataFrame:
-    """Chunked sequences of FASTA files, one task a file; written once as Parquet, every later read is parallel."""
-    files = spark.read.format("binaryFile").load(list(paths)).select("content")
+    """Chunked sequences of FASTA files of any size; written once as Parquet.
+
+    Files are read as records between headers (a line's end and ">"), which Spark deals out by blocks of the files: tasks
+    get whole sequences, and a sequence, not a file, must fit in memory. Text before the first header is no sequence.
+    """
+    records = spark.read.option("lineSep", "\n>").text(list(paths)).select("value")
 
     def run(batches):
         import io
 
         for batch in batches:
-            for content in batch.column(0):
-                rows = fasta_chunks(io.TextIOWrapper(io.BytesIO(content.as_py()), "ascii", "replace"), size)
-                for row in rows:
+            for record in batch.column(0):
+                text = record.as_py()
+                # Only a file's first record still has its ">"; a record without a header is blank or comment.
+                text = text.lstrip() if text.lstrip().startswith(">") else ">" + text
+                for row in fasta_chunks(io.StringIO(text, newline=None), size):
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.int32(), pa.int64(), pa.string()))], names=["chrom", "chunk_id", "chunk_start", "seq"])
 
-    return files.mapInArrow(run, CHROM_SEQ)
+    return records.mapInArrow(run, CHROM_SEQ)
 
 
 def chrom_sizes(chunks: DataFrame) -> DataFrame:
@@ -112,6 +118,16 @@ def parse_genes(lines: DataFrame) -> DataFrame:
     ).select(*[c.split(" ")[0] for c in GENE.split(", ")])
 
 
+def genes_on(genes: DataFrame, chrom: str) -> DataFrame:
+    """The genes of a chromosome in file order."""
+    return genes.filter(F.col("chrom") == chrom).orderBy("ord")
+
+
+def gene_counts(genes: DataFrame) -> DataFrame:
+    """(chrom, n_genes)."""
+    return genes.groupBy("chrom").agg(F.count(F.lit(1)).alias("n_genes"))
+
+
 def promoters(genes: DataFrame, upstream: int, downstream: int) -> DataFrame:
     """Add p_start, p_end around each start site, not clamped."""
     plus = F.col("strand") == "+"

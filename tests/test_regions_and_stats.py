@@ -205,3 +205,27 @@ def test_random_windows_cover_every_chromosome(spark):
         assert all(0.75 * share < tenths.count(k) < 1.25 * share for k in range(10))
     # Repeats under the next seed are another sample.
     assert sum(abs(again[r["draw_id"]] - r["w_start"]) < 1_000_000 for r in got) < 200
+
+
+def test_controls_on_unknown_chromosomes_raise(spark):
+    regions = spark.createDataFrame([(0, "c1", 10, 20), (1, "gone", 10, 20)], "region_id long, chrom string, start long, end long")
+    sizes = spark.createDataFrame([("c1", 1000)], "chrom string, size long")
+    genes = spark.createDataFrame([(0, "c1", 50, "+", "g"), (1, "gone", 50, "+", "g")], "ord long, chrom string, tss long, strand string, name string")
+    for draw in (lambda: R.uniform_controls(regions, sizes, 2, 1), lambda: R.gene_controls(regions, sizes, genes, 2, 1)):
+        with pytest.raises(Exception, match="no size for chromosome gone"):
+            draw().collect()
+
+
+def test_nth_smallest(spark):
+    ids = [i * i % 9973 for i in range(5000)]
+    df = spark.createDataFrame([(i,) for i in sorted(set(ids))], "draw_id long").repartition(5)
+    for n in (1, 7, len(set(ids))):
+        assert R.nth_smallest(df, n, 64) == sorted(set(ids))[n - 1]
+
+
+def test_fisher_of_many_regions():
+    import time
+
+    began = time.time()
+    greater, less = E.fisher(500_100_000, 499_900_000, 500_000_000, 500_000_000)
+    assert 0 < greater < 1e-4 < less <= 1 and time.time() - began < 2
