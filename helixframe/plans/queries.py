@@ -167,13 +167,15 @@ def distal_anti_join(spark, sf):
 _PAIRS = f"WITH {A.REGIONS}, {A.GENES}, pairs AS (SELECT r.region_id, r.start - g.tss AS t, g.strand, g.ord FROM g_regions r JOIN genes g ON r.chrom = g.chrom)"
 
 
-@query(
+_NEAREST = (
     _PAIRS
     + f""", marked AS (SELECT *, least({L.FAR}, coalesce(min(CASE WHEN t >= 0 THEN t END) OVER (PARTITION BY region_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), {L.FAR})) AS m FROM pairs),
 locked AS (SELECT region_id, arg_min(CASE WHEN strand = '-' THEN -t ELSE t END, ord) AS d FROM marked WHERE t < 0 AND -t < m GROUP BY region_id),
-upstream AS (SELECT region_id, CASE WHEN strand = '-' THEN -t ELSE t END AS d FROM (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY t, ord) AS k FROM pairs WHERE t >= 0 AND t < {L.FAR}) WHERE k = 1)
-SELECT r.region_id, coalesce(l.d, u.d) AS distance FROM g_regions r LEFT JOIN locked l USING (region_id) LEFT JOIN upstream u USING (region_id)"""
+upstream AS (SELECT region_id, CASE WHEN strand = '-' THEN -t ELSE t END AS d FROM (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY t, ord) AS k FROM pairs WHERE t >= 0 AND t < {L.FAR}) WHERE k = 1)"""
 )
+
+
+@query(_NEAREST + " SELECT r.region_id, coalesce(l.d, u.d) AS distance FROM g_regions r LEFT JOIN locked l USING (region_id) LEFT JOIN upstream u USING (region_id)")
 def nearest_gene_reference(spark, sf):
     return L.nearest_gene(A.g_regions(spark, sf), A.genes(spark, sf), "reference")
 
@@ -438,7 +440,17 @@ def assembly_search(spark, sf):
     return search(nations, "A")
 
 
-@query("WITH " + values_sql("s", "source, name", jaspar_sets()) + " SELECT * FROM s")
+_CORE = ("vertebrates", "plants", "insects", "nematodes", "fungi", "urochordates")
+_COLLECTIONS = ("CNE", "PHYLOFACTS", "SPLICE", "POLII", "FAM", "PBM", "PBM_HOMEO", "PBM_HLH", "UNVALIDATED")
+
+
+@query(
+    "WITH "
+    + values_sql("taxa", "taxon", [(t,) for t in _CORE])
+    + ", "
+    + values_sql("cs", "name", [(c,) for c in _COLLECTIONS])
+    + " SELECT 'jaspar_core' AS source, taxon || '_' || kind AS name FROM taxa, (VALUES ('non-redundant'), ('redundant')) k(kind) UNION ALL SELECT 'jaspar_collections', name FROM cs"
+)
 def motif_sets(spark, sf):
     return spark.createDataFrame(jaspar_sets(), "source string, name string")
 
@@ -452,13 +464,18 @@ def below_sql(n: str, seed: int, limit: str) -> str:
     return f"CAST((CAST({_DRAW.format(n=n, seed=seed)} AS HUGEINT) * CAST({limit} AS HUGEINT)) // 2147483647 AS BIGINT)"
 
 
+def hashed_sql(n: str, stream: int, seed: int, limit: str) -> str:
+    part = f"CAST('0x' || substr(md5('{seed}|{stream}|' || CAST({n} AS VARCHAR)), 1, 13) AS BIGINT)"
+    return f"CAST((CAST({part} AS HUGEINT) * CAST({limit} AS HUGEINT)) // {1 << 52} AS BIGINT)"
+
+
 @query(
     f"""WITH st AS (SELECT 'doc' || doc_id AS chrom, length(text) AS size, sum(length(text)) OVER (ORDER BY 'doc' || doc_id) AS hi FROM documents WHERE length(text) > 8),
-d AS (SELECT range AS draw_id, {below_sql('range', 5, '(SELECT sum(length(text)) FROM documents WHERE length(text) > 8)')} AS at FROM range(0, 20000))
-SELECT d.draw_id, st.chrom, {below_sql('d.draw_id', 6, '(st.size - 8)')} AS w_start, {below_sql('d.draw_id', 6, '(st.size - 8)')} + 8 AS w_end FROM d JOIN st ON d.at >= st.hi - st.size AND d.at < st.hi"""
+d AS (SELECT range AS draw_id, {hashed_sql('range', 0, 5, '(SELECT sum(length(text)) FROM documents WHERE length(text) > 8)')} AS at FROM range(0, 20000))
+SELECT d.draw_id, st.chrom, {hashed_sql('d.draw_id', 1, 5, '(st.size - 8)')} AS w_start, {hashed_sql('d.draw_id', 1, 5, '(st.size - 8)')} + 8 AS w_end FROM d JOIN st ON d.at >= st.hi - st.size AND d.at < st.hi"""
 )
 def random_background(spark, sf):
-    return R.random_windows(A.sizes(spark, sf).filter("size > 8"), 20_000, 8, 5, plain=True)
+    return R.random_windows(A.sizes(spark, sf).filter("size > 8"), 20_000, 8, 5)
 
 
 @query(
@@ -471,10 +488,23 @@ def control_regions_uniform(spark, sf):
     return R.uniform_controls(regions, A.sizes(spark, sf), 3, 9)
 
 
-@query()
+_FAR_GENES, _ROOM, _SLOTS, _TRIES = 200_000, 1_000_000, 2, 20
+_TRY = f"((region_id * {_SLOTS} + slot) * {_TRIES} + k)"
+
+
+@query(
+    _NEAREST
+    + f""", dist AS (SELECT r.region_id, r.chrom, "end" - start AS len, coalesce(l.d, u.d, {R.BEYOND[0]} + {below_sql('r.region_id', 5, str(R.BEYOND[1] - R.BEYOND[0] + 1))}) AS d
+  FROM g_regions r LEFT JOIN locked l USING (region_id) LEFT JOIN upstream u USING (region_id)),
+listed AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY ord) - 1 AS g_no, count(*) OVER (PARTITION BY chrom) AS n_genes FROM genes),
+counts AS (SELECT chrom, count(*) AS n_genes FROM genes GROUP BY chrom),
+tried AS (SELECT d.*, slot, k, {below_sql(_TRY, 3, 'n_genes')} AS pick FROM dist d JOIN counts USING (chrom), (SELECT unnest(range(0, {_SLOTS})) AS slot), (SELECT unnest(range(0, {_TRIES})) AS k)),
+placed AS (SELECT t.region_id, t.chrom, slot, k, len, CASE WHEN strand = '+' THEN tss + {_FAR_GENES} + d ELSE tss + {_FAR_GENES} - d END AS spot FROM tried t JOIN listed g ON t.chrom = g.chrom AND t.pick = g.g_no)
+SELECT region_id * {_SLOTS} + slot AS control_id, region_id, chrom, arg_min(spot, k) AS start, arg_min(spot + len, k) AS "end" FROM placed WHERE spot >= 0 AND spot + len <= {_ROOM} GROUP BY region_id, slot, chrom"""
+)
 def control_regions_gene(spark, sf):
     # Chromosomes long enough that some gene always leaves room.
-    sizes = A.sizes(spark, sf).withColumn("size", F.lit(1_000_000).cast("long"))
-    genes = A.genes(spark, sf).withColumn("tss", F.col("tss") + 200_000)
-    regions = A.g_regions(spark, sf).withColumn("start", F.col("start") + 200_000).withColumn("end", F.col("end") + 200_000)
-    return R.gene_controls(regions, sizes, genes, 2, 3)
+    sizes = A.sizes(spark, sf).withColumn("size", F.lit(_ROOM).cast("long"))
+    genes = A.genes(spark, sf).withColumn("tss", F.col("tss") + _FAR_GENES)
+    regions = A.g_regions(spark, sf).withColumn("start", F.col("start") + _FAR_GENES).withColumn("end", F.col("end") + _FAR_GENES)
+    return R.gene_controls(regions, sizes, genes, _SLOTS, 3, _TRIES)
