@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixframe.llm import mixing
+from helixframe.llm import mixing, suffix_dedup
 from helixframe.llm.bpe import op3_byte_bpe
 from helixframe.llm.language_id import op10_language_id
 from helixframe.llm.media_ogg import op4_media_ogg
@@ -30,4 +30,4 @@ QUERIES = {
     )
 }
 
-ORACLE: dict[str, str] = {"op7_mixing": mixing.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op6_suffix_dedup": suffix_dedup.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL}

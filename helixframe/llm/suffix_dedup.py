@@ -13,8 +13,9 @@ suffixes with LENGTH bytes in common. An anchor with more than `SHARD_ITEMS` con
 hashes of the windows that they could not decide, cut in ranges by binary search, and a range's arrays are merged by binary
 search again. No key, however frequent, meets in one task.
 
-Defined results: null and empty texts, and texts shorter than LENGTH, lose nothing. Repeated rows of LENGTH bytes or
-more are removed whole, each of them. Rows keep their other columns. Rows are told apart by 128 bits of hash of the text; a
+Defined results: null and empty texts, and texts shorter than LENGTH, lose nothing. Very long texts are read whole, in
+pieces. Repeated rows of LENGTH bytes or more are removed whole, each of them: ties have no first. An empty table gives an
+empty table. Rows keep their other columns. Rows are told apart by 128 bits of hash of the text; a
 window is taken for another by 128 bits of hash (whole contexts, cross-shard merging) or by its bytes (within a shard).
 """
 
@@ -36,7 +37,6 @@ GRAM = 40
 STEP = 1 << 20
 SHARD_ITEMS = 8192
 SHARD_BYTES = 1 << 20
-RANGE_BITS = 4
 
 _SPAN = LENGTH - GRAM + 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -273,6 +273,9 @@ ITEM_FIELDS = "h long, salt int, parts int, c long, m long, k1 long, k2 long, lo
 def contexts(items: DataFrame, docs: DataFrame) -> DataFrame:
     """ITEM_FIELDS: the bytes of each item's context, from one row of its text."""
     wanted = items.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "salt", "parts", "c", "m", "lo", "hi")).alias("wanted"))
+    # Written apart from the join, so that a text with many copies can be split; a context that two tasks give links like one,
+    # as all of a copied text is repeated anyway.
+    wanted = written(wanted, "suffix-wanted")
     joined = docs.join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", F.col("text").cast("binary").alias("text"), "wanted")
 
     def cut(batches):
@@ -369,17 +372,21 @@ def merged(pieces: DataFrame) -> DataFrame:
     dealt = pieces.select("h", "range", "windows").repartition("h", "range").sortWithinPartitions("h", "range")
 
     def decide(arrays: list[np.ndarray]) -> list[dict]:
-        total = np.zeros(0, WINDOW)
-        for own in arrays:
-            # Place each of the shard's windows among those so far by binary search on the hashes.
-            left = np.searchsorted(total["x"], own["x"], side="left")
-            total = np.insert(total, left, own)
-        total = total[np.lexsort((total["y"], total["x"]))]
-        new = np.concatenate([[True], (total["x"][1:] != total["x"][:-1]) | (total["y"][1:] != total["y"][:-1])])
-        kinds = np.cumsum(new) - 1
-        several = np.bincount(kinds)[kinds] > 1
-        out = total[several & (total["m"] == 1)]
-        return [{"k1": int(w["k1"]), "k2": int(w["k2"]), "a": int(w["s"]), "b": int(w["s"]) + LENGTH} for w in out]
+        total, out = arrays[0].copy(), []
+        for own in arrays[1:]:
+            # Look up each of the shard's windows among those so far by binary search on the hashes.
+            at = np.searchsorted(total["x"], own["x"])
+            same, probe, rest = np.zeros(len(own), bool), at.copy(), np.arange(len(own))
+            while len(rest):
+                rest = rest[(probe[rest] < len(total)) & (total["x"][np.minimum(probe[rest], len(total) - 1)] == own["x"][rest])]
+                hit = total["y"][probe[rest]] == own["y"][rest]
+                same[rest[hit]] = True
+                rest = rest[~hit]
+                probe[rest] += 1
+            out += [own[same & (own["m"] == 1)], (found := total[probe[same]])[found["m"] == 1]]
+            total["m"][probe[same]] = 2
+            total = np.insert(total, at[~same], own[~same])
+        return [{"k1": int(w["k1"]), "k2": int(w["k2"]), "a": int(w["s"]), "b": int(w["s"]) + LENGTH} for part in out for w in part]
 
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
 
@@ -438,7 +445,8 @@ def repeats_removed(docs: DataFrame) -> DataFrame:
     """Every row of docs with removed (merged spans of bytes) and kept (the bytes left; null for a null text)."""
     k1, k2 = F.xxhash64(docs["text"]), F.xxhash64(F.lit(1), docs["text"])
     keyed = docs.select(k1.alias("k1"), k2.alias("k2"), "text")
-    spans = repeated_intervals(keyed)
+    # Written apart from the join, as above.
+    spans = written(repeated_intervals(keyed), "suffix-spans")
     keep = [c for c in docs.columns if c.lower() not in ("removed", "kept")]
     # The row's own columns travel in one struct, so that no name of theirs can clash.
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("row"), docs["text"].cast("binary").alias("raw"), k1.alias("k1"), k2.alias("k2"))
@@ -469,3 +477,20 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     taken = F.aggregate("removed", F.lit(0).cast("long"), lambda t, s: t + s["b"] - s["a"])
     return got.select("doc_id", n.alias("n_bytes"), taken.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("kept_sha256"))
+
+
+#: The same rows by counting every string of LENGTH bytes, in hexadecimal.
+ORACLE_SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, unnest(range(0, length(h) // 2 - {LENGTH - 1})) AS s, h FROM t WHERE length(h) >= {2 * LENGTH}),
+k AS (SELECT r, s, md5(substr(h, CAST(2 * s + 1 AS INT), {2 * LENGTH})) AS k FROM w),
+again AS (SELECT r, s FROM (SELECT r, s, count(*) OVER (PARTITION BY k) AS n FROM k) WHERE n > 1),
+marked AS (SELECT r, s, CASE WHEN s - lag(s) OVER o <= {LENGTH} THEN 0 ELSE 1 END AS new FROM again WINDOW o AS (PARTITION BY r ORDER BY s)),
+numbered AS (SELECT r, s, sum(new) OVER (PARTITION BY r ORDER BY s) AS i FROM marked),
+spans AS (SELECT r, i, min(s) AS a, max(s) + {LENGTH} AS b FROM numbered GROUP BY r, i),
+gaps AS (SELECT r, b AS a, coalesce(lead(a) OVER (PARTITION BY r ORDER BY a), {1 << 40}) AS b FROM spans UNION ALL SELECT r, 0, min(a) FROM spans GROUP BY r),
+kept AS (SELECT g.r, string_agg(substr(h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (least(b, length(h) // 2) - a) AS BIGINT)), '' ORDER BY a) AS h FROM gaps g JOIN t ON g.r = t.r WHERE b > a AND a < length(h) // 2 GROUP BY g.r),
+sums AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+SELECT doc_id, CAST(length(t.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN sums.r IS NULL THEN t.h ELSE coalesce(kept.h, '') END)) AS kept_sha256
+FROM t LEFT JOIN sums ON t.r = sums.r LEFT JOIN kept ON t.r = kept.r"""
