@@ -6,8 +6,10 @@ by histograms of `BINS` quantile bins, and flattened into arrays (feature, thres
 kernel walks for all rows and trees at once, level by level. Labels of a held-out fold are never read.
 
 Defined results: null and empty texts have zero statistics and get the score of these; a null doc_id is not held out and
-never learned from. Several labels of one id count as their mean, 0.5 being left out. Without labels the score is 0.5.
-Scores depend on the text alone; equal texts, equal scores.
+never learned from. Several labels of one id count as their mean, 0.5 being left out; of several rows of one id the one of
+the least statistics is learned from. Without labels the score is 0.5, and a score of 0.5 predicts 1. Very long texts are
+read whole; an empty table gives an empty table. Scores depend on the text alone; equal texts, equal scores. New columns
+replace columns of the same name, other columns pass.
 """
 
 from __future__ import annotations
@@ -156,7 +158,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> tuple:
     known = known.groupBy("doc_id").agg(F.avg("quality").alias("label")).filter("label != 0.5")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("_id"), (F.col("label") > 0.5).cast("int").alias("_y"))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "_y", "text")
-    got = per_text(rows, "text", lambda texts: {"x": statistics(texts).tolist()}, "x array<double>").select("doc_id", "_y", "x").toPandas()
+    got = per_text(rows, "text", lambda texts: {"x": statistics(texts).tolist()}, "x array<double>")
+    # One row an id, however often it is repeated: what comes to the driver is bounded by `most`.
+    got = got.groupBy("doc_id", "_y").agg(F.min("x").alias("x")).toPandas()
     if got.empty:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     x, y = np.array(got["x"].tolist()), got["_y"].to_numpy(float)
