@@ -4,35 +4,74 @@ A piece (one match of the split pattern) is read byte by byte. Its encoding is t
 adjacent pairs are all stable, a pair being stable if merging its joined bytes gives back the pair; so the
 encoding of every prefix ends in one token, found from the encodings of shorter prefixes. A state of the
 transducer holds what the future can still depend on: the start positions whose remaining bytes are a prefix of
-some token, with the tokens pending up to each. The tokens that all of these agree on are emitted at once: output
-lags behind input by at most the longest token. States and transitions are made when first met and kept, up
-to `MAX_STATES`; then the table is dropped and built anew, which changes no result. The merge order is the ranks'.
+some token, each as a node of the vocabulary's trie with the token that ends at the start. A move reads a byte and gives
+the token that the prefix ends in. The tokens on which the encodings up to all open starts agree are final: they are
+emitted after a lookahead bounded by the longest token. The merge order is the ranks'.
+
+The distinct pieces of a step that are not remembered are read together: states are determinised level by level for all
+their prefixes at once (equal sets of open starts are one state), in numpy; nothing of it outlives the step. Pieces of more
+than `SHARED` bytes are streamed one by one over states and moves made when first met and kept, up to `MAX_STATES` and
+`MAX_MOVES`; then that table is dropped and built anew, also within a piece, which changes no result.
+
+Of the public pattern no match goes over a space that follows a character other than white space, so texts are cut there
+into blocks; other patterns are matched over the whole text. Ids of pieces met lately are remembered.
 
 Decoding joins the tokens' bytes and runs an incremental UTF-8 state machine over the chunks, so that a chunk
 may end inside a character.
 
 Defined results: a null text is the empty text: no tokens, the hash of no bytes. Texts of any length are read
-whole and in steps; equal texts, equal rows. The ranks file (fixed size) is read on the driver and broadcast.
+whole, in blocks of about `BLOCK` characters that end at such a space; equal texts, equal rows; an empty table gives an
+empty table. New columns replace columns of the same name, other columns pass. The ranks file (fixed size) is read on the
+driver and broadcast.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+import re
+from array import array
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from helixframe.llm.common import per_text, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-MAX_STATES = 250_000
-MAX_MOVES = 500_000
-MAX_PIECES = 300_000
+MAX_STATES = 50_000
+MAX_MOVES = 100_000
+MAX_STABLE = 100_000
+#: Pairs of tokens whose stability is kept.
+MAX_PAIRS = 2_000_000
+#: Pieces remembered in each of two generations.
+MAX_PIECES = 200_000
+#: Longer pieces are neither remembered nor read together with others.
+SHARED = 64
+#: Characters of text whose pieces are looked up together.
+BLOCK = 1 << 20
 CHUNK_TOKENS = 1 << 16
 NEVER = 1 << 62
 NONE = -1
+#: Bits of a token id within a packed state entry or move; NO_TOKEN stands for the start of the piece.
+ID_BITS = 24
+NO_TOKEN = (1 << ID_BITS) - 1
+#: Bytes of a piece read between two emissions.
+WINDOW = 1 << 12
+
+#: A space after a character that is none.
+BORDER = re.compile(r"(?<=\S) ")
+
+
+def blocks(text: str, size: int = BLOCK) -> Iterator[str]:
+    """The text cut before borders, each after about `size` characters."""
+    at = 0
+    while len(text) - at > size and (m := BORDER.search(text, at + size)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -42,33 +81,44 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 class Transducer:
     """Tokens are their ids; bytes read since an open start are a node of the vocabulary's trie.
 
-    A state is (last emitted token, ((node, pending tokens), ...)), the current position being the open start at
-    the root; `moves` has state * 256 + byte -> (next state, packed ids emitted).
+    A state is a tuple of (node << ID_BITS | token before the start), longest first, the current position being the open
+    start at the root; `moves` has state << 8 | byte -> next state << ID_BITS | token that the prefix ends in.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
+        if max(ranks.values(), default=0) >= NO_TOKEN:
+            raise ValueError(f"token ids must be below {NO_TOKEN}")
         self.ranks = ranks
         self.bytes_of = {i: token for token, i in ranks.items()}
+        self.size_of = {i: len(token) for token, i in ranks.items()}
         self.trie: dict[int, int] = {}
         self.token_at: list[int] = [NONE]
+        self.depth: list[int] = [0]
         trie, nodes = self.trie, 1
         for token, i in ranks.items():
             node = 0
-            for byte in token:
+            for depth, byte in enumerate(token, 1):
                 key = node << 8 | byte
                 node = trie.get(key, 0)
                 if not node:
                     node = trie[key] = nodes
                     nodes += 1
                     self.token_at.append(NONE)
+                    self.depth.append(depth)
             self.token_at[node] = i
         self.checked = bytearray(nodes)
+        self.keys = np.array(sorted(trie), np.int64)
+        self.nodes = np.array([trie[k] for k in self.keys.tolist()], np.int64)
+        self.sizes = np.zeros(max(ranks.values(), default=-1) + 1, np.int64)
+        self.sizes[list(self.size_of)] = list(self.size_of.values())
+        self.pairs, self.held, self.fresh = np.zeros(0, np.int64), np.zeros(0, bool), []
+        self.token_of, self.seen = np.full(nodes, NONE, np.int64), np.zeros(nodes, bool)
         self.spines: dict[bytes, tuple[list, list]] = {}
         self.stable: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
-        first = (NONE, ((0, ()),))
+        first = (NO_TOKEN,)
         self.states, self.number, self.moves = [first], {first: 0}, {}
 
     def merge(self, piece: bytes, until: int = 1) -> list[bytes]:
@@ -111,7 +161,7 @@ class Transducer:
         """No merge crosses the border of tokens a and b while they are merged, nor after."""
         key = a << 32 | b
         if (known := self.stable.get(key)) is None:
-            if len(self.stable) > 4 * MAX_STATES:
+            if len(self.stable) >= MAX_STABLE:
                 self.stable.clear()
             known = self.stable[key] = self.border_holds(self.edges(self.bytes_of[a])[1], self.edges(self.bytes_of[b])[0])
         return known
@@ -131,61 +181,164 @@ class Transducer:
             else:
                 j += 1
 
-    def step(self, state: int, byte: int) -> tuple[int, bytes]:
-        """Make the transition of a state on a byte: the next state and the packed tokens emitted."""
-        last, starts = self.states[state]
-        trie, found, still = self.trie, None, []
-        for node, path in starts:
-            child = trie.get(node << 8 | byte)
+    def step(self, state: int, byte: int) -> int:
+        """Make the move of a state on a byte: next state << ID_BITS | token that the prefix ends in."""
+        trie, found, still = self.trie, NONE, []
+        for entry in self.states[state]:
+            child = trie.get(entry >> ID_BITS << 8 | byte)
             if child is None:
                 continue
-            if found is None and (token := self.reached(child)) != NONE:
-                prior = path[-1] if path else last
-                if prior == NONE or self.is_stable(prior, token):
-                    found = (*path, token)
-            still.append((child, path))
-        if found is None:
+            prior = entry & NO_TOKEN
+            if found == NONE and (token := self.reached(child)) != NONE and (prior == NO_TOKEN or self.is_stable(prior, token)):
+                found = token
+            still.append(child << ID_BITS | prior)
+        if found == NONE:
             raise ValueError(f"byte {byte} is not in the vocabulary")
-        out = b""
-        if not still:
-            last, still, done = found[-1], [(0, ())], found
-        else:
-            still.append((0, found))
-            paths = [path for _, path in still]
-            low, high = min(paths), max(paths)
-            n = 0
-            for x, y in zip(low, high):
-                if x != y:
-                    break
-                n += 1
-            done = low[:n]
-            if n:
-                last = low[n - 1]
-                still = [(node, path[n:]) for node, path in still]
-        if done:
-            out = b"".join([i.to_bytes(4, "little") for i in done])
-        # The last emitted token matters only to a start that has nothing pending.
-        key = (last if any(not path for _, path in still) else NONE, tuple(still))
+        still.append(found)
+        key = tuple(still)
         after = self.number.get(key)
         if after is None:
+            if full := len(self.moves) >= MAX_MOVES or len(self.states) >= MAX_STATES:
+                self.reset()
             after = self.number[key] = len(self.states)
             self.states.append(key)
-        self.moves[state << 8 | byte] = got = (after, out)
+            if full:  # the state come from has no number any more
+                return after << ID_BITS | found
+        self.moves[state << 8 | byte] = got = after << ID_BITS | found
         return got
 
+    def known_tokens(self, nodes: np.ndarray) -> np.ndarray:
+        """reached() of many nodes."""
+        new = np.unique(nodes[~self.seen[nodes]])
+        for node in new.tolist():
+            self.token_of[node] = self.reached(node)
+        self.seen[new] = True
+        return self.token_of[nodes]
+
+    def all_stable(self, priors: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """is_stable() of many pairs; nothing before a token is stable."""
+        pairs = priors << 32 | tokens
+        at = np.minimum(np.searchsorted(self.pairs, pairs), max(len(self.pairs) - 1, 0))
+        unknown = self.pairs[at] != pairs if len(self.pairs) else np.ones(len(pairs), bool)
+        out = np.ones(len(pairs), bool)
+        if len(self.pairs):
+            out = self.held[at]
+        if unknown.any():
+            new, back = np.unique(pairs[unknown], return_inverse=True)
+            held = np.array([a == NO_TOKEN or self.is_stable(a, b) for a, b in zip((new >> 32).tolist(), (new & 0xFFFFFFFF).tolist())], bool)
+            out[unknown] = held[back]
+            self.fresh.append((new, held))
+        return out
+
+    def keep_pairs(self) -> None:
+        """Sort what all_stable() found into the table of known pairs."""
+        new, first = np.unique(np.concatenate([self.pairs, *[p for p, _ in self.fresh]]), return_index=True)
+        held = np.concatenate([self.held, *[h for _, h in self.fresh]])[first]
+        most = len(new) <= MAX_PAIRS
+        self.pairs, self.held, self.fresh = (new, held, []) if most else (new[:0], held[:0], [])
+        self.stable.clear()
+
+    def encode_many(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of sorted distinct pieces of 1 to SHARED bytes."""
+        n = len(pieces)
+        sizes = np.fromiter(map(len, pieces), np.int64, n)
+        width = int(sizes.max(initial=0))
+        grid = np.frombuffer(b"".join([p.ljust(width, b"\0") for p in pieces]), np.uint8).reshape(n, width)
+        ends = np.zeros((n, width), np.int64)
+        live, state = np.arange(n), np.zeros(n, np.int64)
+        # Open starts of all states of the level, by state, longest first: node and token before the start.
+        first, size = np.zeros(1, np.int64), np.ones(1, np.int64)
+        node, prior = np.zeros(1, np.int64), np.full(1, NO_TOKEN, np.int64)
+        for level in range(width):
+            longer = sizes[live] > level
+            live, state = live[longer], state[longer]
+            moves, after = np.unique(state << 8 | grid[live, level], return_inverse=True)
+            source, byte = moves >> 8, moves & 255
+            counts = size[source]
+            owner = np.repeat(np.arange(len(moves)), counts)
+            at = np.arange(len(owner)) + np.repeat(first[source] - (np.cumsum(counts) - counts), counts)
+            key = node[at] << 8 | byte[owner]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            has = self.keys[place] == key
+            owner, node, prior = owner[has], self.nodes[place[has]], prior[at[has]]
+            token = self.known_tokens(node)
+            full = np.flatnonzero(token != NONE)
+            full = full[self.all_stable(prior[full], token[full])]
+            which, where = np.unique(owner[full], return_index=True)
+            if len(which) < len(moves):
+                raise ValueError("a byte is not in the vocabulary")
+            found = token[full[where]]
+            owner = np.concatenate([owner, which])
+            order = np.argsort(owner, kind="stable")
+            node = np.concatenate([node, np.zeros(len(which), np.int64)])[order]
+            prior = np.concatenate([prior, found])[order]
+            size = np.bincount(owner, minlength=len(moves))
+            first = np.cumsum(size) - size
+            ends[live, level] = found[after]
+            state = after
+        out = np.zeros((n, width), np.uint32)
+        left, filled = sizes.copy(), np.full(n, width)
+        open_ = np.flatnonzero(left)
+        while len(open_):
+            token = ends[open_, left[open_] - 1]
+            filled[open_] -= 1
+            out[open_, filled[open_]] = token
+            left[open_] -= self.sizes[token]
+            open_ = open_[left[open_] > 0]
+        self.keep_pairs()
+        raw, row = out.astype("<u4").tobytes(), 4 * width
+        return [raw[i * row + 4 * f : (i + 1) * row] for i, f in enumerate(filled.tolist())]
+
+    def backwards(self, ends: list[int], stop: int) -> list[int]:
+        """Tokens of the prefix of `stop` bytes, the last one first; ends has the token each longer prefix ends in."""
+        out, size = [], self.size_of
+        while stop > 0:
+            token = ends[stop - 1]
+            out.append(token)
+            stop -= size[token]
+        return out
+
+    def settled(self, ends: list[int], state: int) -> list[int]:
+        """Tokens that the encodings up to all open starts of a state begin with."""
+        n, depth = len(ends), self.depth
+        paths = [self.backwards(ends, n - depth[entry >> ID_BITS])[::-1] for entry in self.states[state]]
+        low, high = min(paths), max(paths)
+        same = 0
+        while same < len(low) and low[same] == high[same]:
+            same += 1
+        return low[:same]
+
+    def stream(self, piece: bytes, window: int = WINDOW) -> Iterator[list[int]]:
+        """Ids of a piece, those settled after every `window` bytes, then the rest."""
+        state, ends = 0, []
+        for at in range(0, len(piece), window):
+            for byte in piece[at : at + window]:
+                move = self.moves.get(state << 8 | byte)
+                if move is None:
+                    move = self.step(state, byte)
+                state = move >> ID_BITS
+                ends.append(move & NO_TOKEN)
+            done = self.settled(ends, state)
+            if done:
+                yield done
+                del ends[: sum(map(self.size_of.__getitem__, done))]
+        yield self.backwards(ends, len(ends))[::-1]
+
     def encode(self, piece: bytes) -> bytes:
         """Packed ids of one piece."""
         if (token := self.ranks.get(piece)) is not None:
             return token.to_bytes(4, "little")
-        if len(self.moves) > MAX_MOVES or len(self.states) > MAX_STATES:
-            self.reset()
-        state, get, out = 0, self.moves.get, []
+        if len(piece) > WINDOW:
+            return b"".join(array("I", ids).tobytes() for ids in self.stream(piece))
+        state, ends, get = 0, [], self.moves.get
         for byte in piece:
-            state, done = get(state << 8 | byte) or self.step(state, byte)
-            if done:
-                out.append(done)
-        out += [i.to_bytes(4, "little") for i in self.states[state][1][-1][1]]
-        return b"".join(out)
+            move = get(state << 8 | byte)
+            if move is None:
+                move = self.step(state, byte)
+                get = self.moves.get
+            state = move >> ID_BITS
+            ends.append(move & NO_TOKEN)
+        return array("I", self.backwards(ends, len(ends))[::-1]).tobytes()
 
 
 class Utf8Machine:
@@ -226,31 +379,83 @@ class Utf8Machine:
         return rest.decode("utf-8", "replace")
 
 
-class Tokenizer:
-    """Encoder and decoder of whole texts over one ranks file."""
+class Pieces:
+    """Splits texts and keeps a value for each piece, made by `make` for many new ones at once.
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.machine = Transducer(ranks)
+    Values are kept in two generations: what is met again moves to the younger one.
+    """
+
+    def __init__(self, pattern: str, make: Callable[[list[bytes]], list], most: int):
         self.find = regex.compile(pattern).findall
-        self.bytes_of = self.machine.bytes_of
-        machine = self.machine
+        self.cut = pattern == public_pattern()
+        self.make, self.most = make, most
+        self.known: dict[str, object] = {}
+        self.older: dict[str, object] = {}
+
+    def values(self, pieces: set[str]) -> dict[str, object]:
+        """Values of these pieces (and of others)."""
+        if len(self.known) > self.most:
+            self.older, self.known = self.known, {}
+        known, older, coded = self.known, self.older, {}
+        for p in pieces:
+            if p not in known:
+                if (value := older.get(p)) is None:
+                    coded[p.encode("utf-8", "surrogateescape")] = p
+                else:
+                    known[p] = value
+        new = sorted(coded)
+        made = dict(zip(map(coded.__getitem__, new), self.make(new))) if new else {}
+        if len(made) > self.most:
+            return known | made
+        known |= made
+        return known
 
-        class Pieces(dict):
-            """Ids of pieces met before, as little-endian 32-bit integers; dropped when full."""
+    def groups(self, texts: list) -> Iterator[tuple[list[int], list[str], list[int]]]:
+        """(texts, their pieces laid one after another, number of each): about BLOCK characters together."""
+        who, flat, sizes, held = [], [], [], 0
+        for i, text in enumerate(texts):
+            whole = (text or b"").decode("utf-8", "surrogateescape")
+            for block in blocks(whole) if self.cut else [whole]:
+                own = self.find(block)
+                who.append(i)
+                flat += own
+                sizes.append(len(own))
+                held += len(block)
+                if held > BLOCK:
+                    yield who, flat, sizes
+                    who, flat, sizes, held = [], [], [], 0
+        if who:
+            yield who, flat, sizes
+
+
+def is_long(piece: str) -> bool:
+    """More than SHARED bytes; a character has 4 at most."""
+    return len(piece) > SHARED // 4 and len(piece.encode("utf-8", "surrogateescape")) > SHARED
 
-            def __missing__(self, piece: str) -> bytes:
-                packed = machine.encode(piece.encode("utf-8", "surrogateescape"))
-                if len(piece) <= 48:
-                    if len(self) >= MAX_PIECES:
-                        self.clear()
-                    self[piece] = packed
-                return packed
 
-        self.pieces = Pieces()
+class Tokenizer:
+    """Encoder and decoder of whole texts over one ranks file."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.machine = machine = Transducer(ranks)
+        self.bytes_of = [machine.bytes_of.get(i, b"") for i in range(max(machine.bytes_of, default=-1) + 1)]
+        self.pieces = Pieces(pattern, machine.encode_many, MAX_PIECES)
+
+    def packed(self, texts: list) -> Iterator[tuple[int, bytes]]:
+        """(number of the text, packed ids of its next block) of UTF-8 texts, in order."""
+        for who, flat, sizes in self.pieces.groups(texts):
+            distinct = set(flat)
+            long = set(filter(is_long, distinct))
+            of = self.pieces.values(distinct - long)
+            if long:
+                of = of | {p: self.machine.encode(p.encode("utf-8", "surrogateescape")) for p in long}
+            got, at = list(map(of.__getitem__, flat)), 0
+            for i, n in zip(who, sizes):
+                yield i, b"".join(got[at : at + n])
+                at += n
 
     def encode(self, text: bytes) -> bytes:
-        """Packed ids of a UTF-8 text."""
-        return b"".join(map(self.pieces.__getitem__, self.find(text.decode("utf-8", "surrogateescape"))))
+        return b"".join(packed for _, packed in self.packed([text]))
 
     def decode_chunks(self, packed: bytes, size: int = CHUNK_TOKENS) -> Iterator[bytes]:
         ids = memoryview(packed).cast("I") if len(packed) else ()
@@ -262,6 +467,15 @@ class Tokenizer:
         return "".join([*map(machine.feed, self.decode_chunks(packed)), machine.finish()])
 
 
+def public_pattern() -> str | None:
+    """The pattern whose matches keep to borders."""
+    try:
+        import public_tokenizers
+    except ImportError:
+        return None
+    return public_tokenizers.PATTERN
+
+
 _made: dict[str, Tokenizer] = {}
 
 
@@ -280,8 +494,11 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
 
 
-def bpe_tokens(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Every row of docs with n_tokens, token_ids (packed), ids_sha256, decoded_sha256 and decoded_ok.
+TOKEN_FIELDS = {"n_tokens": "long", "token_ids": "binary", "ids_sha256": "string", "decoded_sha256": "string", "decoded_ok": "boolean"}
+
+
+def bpe_tokens(docs: DataFrame, path: str | None = None, pattern: str | None = None, columns: tuple[str, ...] = tuple(TOKEN_FIELDS)) -> DataFrame:
+    """Every row of docs with n_tokens, token_ids (packed), ids_sha256, decoded_sha256 and decoded_ok, or those of `columns`.
 
     decoded_ok: the streaming decoder gave back well-formed UTF-8 equal to the text.
     """
@@ -292,26 +509,30 @@ def bpe_tokens(docs: DataFrame, path: str | None = None, pattern: str | None = N
 
     def kernel(texts: list) -> dict:
         t = tokenizer(data.value, pattern)
-        out: dict[str, list] = {"n_tokens": [], "token_ids": [], "ids_sha256": [], "decoded_sha256": [], "decoded_ok": []}
-        for text in texts:
-            text = text or b""
-            packed = t.encode(text)
-            machine, sha, same, at = Utf8Machine(), hashlib.sha256(), True, 0
-            for chunk in t.decode_chunks(packed):
-                sha.update(chunk)
-                got = machine.feed(chunk).encode()
-                same &= text[at : at + len(got)] == got
-                at += len(got)
-            same &= text[at:] == machine.finish().encode()
-            out["n_tokens"].append(len(packed) // 4)
-            out["token_ids"].append(packed)
-            out["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
-            out["decoded_sha256"].append(sha.hexdigest())
-            out["decoded_ok"].append(same)
+        keep, check, decode = "token_ids" in columns, "decoded_ok" in columns, "decoded_ok" in columns or "decoded_sha256" in columns
+        out: dict[str, list] = {c: [] for c in TOKEN_FIELDS}
+        for i, own in groupby(t.packed(texts), lambda x: x[0]):
+            text, n, held, same, at = texts[i] or b"", 0, [], True, 0
+            ids_sha, sha, machine = hashlib.sha256(), hashlib.sha256(), Utf8Machine()
+            for _, packed in own:
+                n += len(packed) // 4
+                ids_sha.update(packed)
+                if keep:
+                    held.append(packed)
+                for chunk in t.decode_chunks(packed) if decode else ():
+                    sha.update(chunk)
+                    if check:
+                        got = machine.feed(chunk).encode()
+                        same &= text[at : at + len(got)] == got
+                        at += len(got)
+            if check:
+                same &= text[at:] == machine.finish().encode()
+            row = (n, b"".join(held), ids_sha.hexdigest(), sha.hexdigest(), same)
+            for c, value in zip(TOKEN_FIELDS, row):
+                out[c].append(value)
         return out
 
-    fields = "n_tokens long, token_ids binary, ids_sha256 string, decoded_sha256 string, decoded_ok boolean"
-    return per_text(docs, "text", kernel, fields)
+    return per_text(docs, "text", kernel, ", ".join(f"{c} {TOKEN_FIELDS[c]}" for c in columns))
 
 
 def decode_tokens(rows: DataFrame, ids: str = "token_ids", path: str | None = None) -> DataFrame:
@@ -328,6 +549,5 @@ def decode_tokens(rows: DataFrame, ids: str = "token_ids", path: str | None = No
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe_tokens(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
-
-
+    columns = ("n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe_tokens(docs, columns=columns).select("doc_id", *columns)

@@ -28,24 +28,52 @@ def test_encode_like_the_library(text):
     assert OURS.decode(packed) == text
 
 
-def test_transducer_survives_its_bounds(monkeypatch):
-    monkeypatch.setattr(B, "MAX_STATES", 5)
+def texts_of(rnd, n):
+    signs = ["abc", " ", "  ", "\n", "\t ", "\u00a0", " \u2003 ", "é", "ß日", "1", "23 ", "!", "'s", "'ll ", "the", "ing", "\x1c ", "x" * 70, "-"]
+    return ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 40))) for _ in range(n)]
+
+
+def test_blocks_and_generations_change_nothing(monkeypatch):
     monkeypatch.setattr(B, "MAX_PIECES", 3)
-    small = B.Tokenizer(RANKS, PATTERN)
-    rnd = random.Random(1)
-    for _ in range(200):
-        text = "".join(rnd.choice("abc éß日 1!") for _ in range(30))
-        assert ids(small.encode(text.encode())) == LIBRARY.encode_ordinary(text)
+    monkeypatch.setattr(B, "BLOCK", 7)
+    small, counts, whole = B.Tokenizer(RANKS, PATTERN), T.Counter(RANKS, PATTERN), T.Counter(RANKS, ".|\n|" + PATTERN)
+    counts.pieces.most = 3
+    texts = texts_of(random.Random(1), 300)
+    for i, packed in [(i, small.encode(t.encode())) for i, t in enumerate(texts)]:
+        assert ids(packed) == LIBRARY.encode_ordinary(texts[i])
+    monkeypatch.setattr(B, "BLOCK", 1 << 20)
+    plain = T.Counter(RANKS, PATTERN)
+    raw = [t.encode() for t in texts]
+    assert counts.counts(raw) == plain.counts(raw) == [plain.counts([t])[0] for t in raw]
+    assert whole.pieces.cut is False
+
+
+def test_streamed_pieces_survive_small_tables(monkeypatch):
+    monkeypatch.setattr(B, "MAX_STATES", 5)
+    monkeypatch.setattr(B, "MAX_MOVES", 9)
+    monkeypatch.setattr(B, "WINDOW", 16)
+    machine, rnd = B.Transducer(RANKS), random.Random(2)
+    for _ in range(60):
+        piece = "".join(rnd.choice("abcdeé日nrstheing") for _ in range(rnd.randint(1, 120))).encode()
+        assert machine.encode(piece) == b"".join(i.to_bytes(4, "little") for i in LIBRARY.encode_ordinary(piece.decode()))
+        assert len(machine.states) <= 5 and len(machine.moves) <= 9
 
 
 def test_output_lags_by_a_bounded_lookahead():
-    machine = B.Transducer(RANKS)
-    piece, state, done = b"antidisestablishmentarianism" * 20, 0, 0
+    machine, done, k = B.Transducer(RANKS), 0, 0
     longest = max(map(len, RANKS))
-    for k, byte in enumerate(piece, 1):
-        state, out = machine.step(state, byte)
-        done += sum(len(machine.bytes_of[i]) for i in ids(out))
-        assert k - done <= 2 * longest
+    piece = b"antidisestablishmentarianism" * 20
+    for out in machine.stream(piece, window=1):
+        k = min(k + 1, len(piece))
+        done += sum(len(machine.bytes_of[i]) for i in out)
+    assert done == len(piece)
+    ends, state = [], 0
+    for byte in piece:
+        move = machine.step(state, byte)
+        state = move >> B.ID_BITS
+        ends.append(move & B.NO_TOKEN)
+        settled = sum(len(machine.bytes_of[i]) for i in machine.settled(ends, state))
+        assert len(ends) - settled <= 2 * longest
 
 
 @settings(max_examples=200, deadline=None)
@@ -94,17 +122,14 @@ def test_counts_match_plain_programming(spark):
     assert T.token_counts(df.limit(0)).count() == 0
 
 
-def test_trie_shares_prefixes_and_resets(monkeypatch):
+def test_trie_shares_prefixes():
     trie = T.PieceTrie(RANKS)
-    trie.insert(b" international")
-    n = len(trie.best)
-    trie.insert(b" international")
-    trie.insert(b" internet")
-    assert len(trie.best) == n + 2
-    monkeypatch.setattr(T, "MAX_NODES", 10)
-    monkeypatch.setattr(T, "MAX_PIECES", 3)
-    small, whole = T.Counter(RANKS, PATTERN), T.Counter(RANKS, PATTERN)
-    texts = [b"one two three four", b"three four five six seven", None]
-    assert [small.counts([t])[0] for t in texts] == whole.counts(texts)
+    trie.scores([b" international", b" internet"])
+    assert trie.made == len(b" international") + len(b"et")
+    for piece in (b"x" * 300, "日本語".encode() * 40, b"antidisestablishment" * 9):
+        costs = dict(zip(sorted(RANKS, key=RANKS.get), T.zipf_costs(len(RANKS))))
+        assert trie.alone(piece) == slow_count(piece, costs)
+    with pytest.raises(ValueError):
+        T.PieceTrie({b"a": 0}).scores([b"b"])
     with pytest.raises(ValueError):
-        T.PieceTrie({b"a": 0}).insert(b"b")
+        T.PieceTrie({b"a": 0}).alone(b"ab")
