@@ -8,12 +8,13 @@ chance or on the rank of others.
 
 The main path is DataFrame expressions only. The corpus is read twice (counts, scores); the counts are added up
 before the shuffle, which so carries at most 2 * buckets rows a task. The model, 2 * buckets doubles whatever
-the corpus, goes to the tasks as one scalar subquery.
+the corpus, goes to the tasks as one scalar subquery that only the expression of the sum refers to: it is in no row.
 
 Defined results: a null text has no words, fails the base rules and scores null, as does any text without
 words. With no trusted text at all there is no target: scores are null and the base rules decide alone.
-Repeated rows are scored each. Other columns are passed through by `score`; its own columns replace columns of
-the same name.
+Very long texts are counted whole, their words held as one array. A ratio equal to the threshold is kept. Repeated rows count
+and are scored each; an empty table gives an empty table. Other columns are passed through by `score`; its own columns
+replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -21,14 +22,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import WHITE, table, words
+from helixframe.llm.common import table, words
 
 BUCKETS = 1 << 15
 SMOOTHING = 0.5
 THRESHOLD = -0.16
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]"
+A_WORD = r"[^\x20\x09-\x0D]"
 #: Trusted ids up to this number are broadcast (16 MB); more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -83,13 +85,12 @@ def model(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHIN
 def base_rules(docs: DataFrame) -> DataFrame:
     """Word, symbol, line and repetition counts of every text, and `base_failed`; the words stay in `_w`."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, WHITE, "")) > 0)
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(A_WORD))
     keep = [c for c in docs.columns if c.lower() not in OWN]
     got = docs.select(
         *[f"`{c}`" for c in keep],
         words(text).alias("_w"),
-        F.length(F.translate(text, WHITE, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         lines.alias("_lines"),
     )
     n = F.size("_w")
@@ -97,6 +98,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
     got = got.select(
         *[c for c in got.columns if c != "_lines"],
         n.cast("long").alias("n_words"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.transform(
             F.slice(w, 1, F.greatest(n - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))
@@ -120,14 +122,13 @@ def base_rules(docs: DataFrame) -> DataFrame:
 def score(docs: DataFrame, ratios: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """All rows of docs with the columns OWN; `ratios` is the one row of `model`."""
     based = base_rules(docs)
-    table_ = ratios.scalar()
-    cells = _cells(F.col("_w"), buckets)
-    total = F.aggregate(F.transform(cells, lambda c: F.get(F.col("_m"), c)), F.lit(0.0), lambda a, x: a + x)
     keep = [c for c in based.columns if c != "_w"]
-    got = based.select(*[f"`{c}`" for c in keep], "_w", table_.alias("_m"))
+    # The model is referred to once, so that the optimiser puts the subquery where it is read.
+    got = based.select(*[f"`{c}`" for c in keep], "_w", ratios.scalar().alias("_m"))
+    total = F.aggregate(_cells(F.col("_w"), buckets), F.lit(0.0), lambda a, c: a + F.get(F.col("_m"), c))
     n = F.size("_w")
-    llr = F.when((n > 0) & F.col("_m").isNotNull(), total / (2 * n - 1))
-    got = got.select(*[f"`{c}`" for c in keep], llr.alias("llr"))
+    # Without a target the model is null, and so is the sum.
+    got = got.select(*[f"`{c}`" for c in keep], F.when(n > 0, total / (2 * n - 1)).alias("llr"))
     # A filter on the verdict must run after it: pushed below, it would copy the whole chain of array expressions into
     # itself. Spark pushes no filter through a projection with a row number, which here is never negative.
     verdict = ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(True))
