@@ -198,12 +198,12 @@ def scan_regions(
         if span:
             result["distances"] = P.smoothed_histogram(P.distance_histogram(regions, sites, pwms, span))
             result["distances"].write.mode("overwrite").parquet(os.path.join(out, "profiles", "distances"))
-        if enrich and P.have_scores(regions) and regions.count() >= 100:
+        if enrich and P.have_scores(regions) and (n_regions := regions.count()) >= 100:
             hits, n = S.grid(regions, sites, len(pwms)), result["control"].count()
             control_hits = {r[0]: r[1] for r in result["control_sites"].select("motif_idx", "region_id").distinct().groupBy("motif_idx").count().collect()}
             curve = P.ranked_fold_change(regions, hits, 1.0)
             shares = F.array(*[F.lit((control_hits.get(i, 0) / n) or 1.0) for i in range(len(pwms))])
             scaled = curve.withColumn("fold_change", F.col("fold_change") / F.get(shares, F.col("motif_idx")))
-            result["curve"] = P.smoothed_curve(scaled)
+            result["curve"] = P.smoothed_curve(scaled, size=n_regions)
             result["curve"].write.mode("overwrite").parquet(os.path.join(out, "profiles", "curve"))
     return result

@@ -12,6 +12,8 @@ from helixframe.functions.matrix import Pwm
 
 TAPS = 11
 BIN = 10
+#: Places of a curve that one task works on.
+BLOCK = 1 << 18
 
 
 def hanning(n: int = TAPS) -> list[float]:
@@ -74,39 +76,88 @@ def smoothed_histogram(histogram: DataFrame) -> DataFrame:
     return arrays.select("motif_idx", F.posexplode(smooth_array(F.col("x"))).alias("bin", "smooth"))
 
 
-def ranked_fold_change(regions: DataFrame, hits: DataFrame, control_share: float) -> DataFrame:
+def placed_by_score(regions: DataFrame, n: int, rows: int = BLOCK) -> DataFrame:
+    """(region_id, place) of n regions: 0 for the best score, the least region_id on ties.
+
+    Regions are ordered within ranges of about `rows` of them, so that no task orders them all: ranges end at approximate
+    quantiles of the score, and a score that fills several ranges is cut again at quantiles of its ids. The ends only deal the
+    rows; places are exact wherever they lie.
+    """
+    scored = regions.select("region_id", F.col("score").cast("double").alias("score"))
+    k = n // rows
+    ends: list[float] = []
+    if k:
+        shares = [j / (k + 1) for j in range(1, k + 1)]
+        known = scored.filter("score is not null and not isnan(score)")
+        ends = known.agg(F.percentile_approx("score", shares, 10 * (k + 1))).first()[0] or []
+    often = {v: m for v in set(ends) if (m := ends.count(v)) > 1}
+    cuts = sorted(set(ends))
+    range_ = F.lit(0)
+    if cuts:
+        # Nulls come last, as they do in the order itself.
+        above = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda e: e > F.col("score")))
+        range_ = F.when(F.col("score").isNull(), len(cuts) + 1).otherwise(above)
+    part = F.lit(0)
+    for value, m in often.items():
+        ids = scored.filter(F.col("score") == value).agg(F.percentile_approx("region_id", [j / (m + 1) for j in range(1, m + 1)], 10 * (m + 1))).first()[0] or []
+        below = F.size(F.filter(F.array(*map(F.lit, sorted(set(ids)))), lambda e: e < F.col("region_id")))
+        # A cut is the least score of its range, so the range's other scores (part 0) go first.
+        part = F.when(F.col("score") == value, below + 1).otherwise(part)
+    dealt = scored.withColumn("range", range_).withColumn("part", part)
+    sizes = dealt.groupBy("range", "part").agg(F.count(F.lit(1)).alias("n"))
+    # About n / rows of them.
+    before = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("range", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    own = Window.partitionBy("range", "part").orderBy(F.col("score").desc(), "region_id")
+    ordered = dealt.select("region_id", "range", "part", (F.row_number().over(own) - 1).alias("at"))
+    return ordered.join(F.broadcast(offsets), ["range", "part"]).select("region_id", (F.col("first") + F.col("at")).alias("place"))
+
+
+def ranked_fold_change(regions: DataFrame, hits: DataFrame, control_share: float, rows: int = BLOCK) -> DataFrame:
     """(motif_idx, region_id, place, fold_change): moving share of regions with a site along the scores, over the control's.
 
     hits has (motif_idx, region_id, n_sites) of all motifs and regions. The frame reaches 1 % of the regions to both sides.
+    Places are worked on in blocks of `rows`, whatever the number of regions.
     """
     n = regions.count()
     if n < 100:
         raise ValueError(f"a curve needs 100 regions, not {n}")
     reach = n // 100
-    own = Window.partitionBy("motif_idx").orderBy(F.col("score").desc(), "region_id")
-    joined = hits.join(regions.select("region_id", "score"), "region_id").withColumn("has", (F.col("n_sites") > 0).cast("int"))
-    # The frame [place - reach, place + reach) is a difference of running sums: a sliding frame would add up the whole
-    # frame anew for every row.
-    placed = joined.select(
-        "motif_idx",
-        "region_id",
-        "score",
-        (F.row_number().over(own) - 1).alias("place"),
-        F.sum("has").over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
-        F.sum("has").over(Window.partitionBy("motif_idx")).alias("total"),
-    )
-    hit = F.coalesce(F.lead("upto", reach - 1).over(own), F.col("total")) - F.coalesce(F.lag("upto", reach + 1).over(own), F.lit(0))
-    rows = F.least(F.col("place") + reach, F.lit(n)) - F.greatest(F.col("place") - reach, F.lit(0))
-    return placed.select("motif_idx", "region_id", "place", (hit / rows / (control_share or 1.0)).alias("fold_change"))
-
-
-def smoothed_curve(curve: DataFrame, n: int = TAPS) -> DataFrame:
-    """(motif_idx, place, smooth) of a ranked curve: the same taps by neighbours, reflected at the ends."""
-    own = Window.partitionBy("motif_idx").orderBy("place")
-    size = F.count(F.lit(1)).over(Window.partitionBy("motif_idx"))
+    has = (F.col("n_sites") > 0).cast("int").alias("has")
+    joined = hits.join(placed_by_score(regions, n, rows), "region_id").select("motif_idx", "region_id", "place", has)
+    dealt = joined.withColumn("block", F.floor(F.col("place") / rows))
+    # The frame [place - reach, place + reach) is a difference of running sums: those within a block, and of whole blocks.
+    sums = dealt.groupBy("motif_idx", "block").agg(F.sum("has").alias("n"))
+    blocks = Window.partitionBy("motif_idx").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("motif_idx", "block", F.coalesce(F.sum("n").over(blocks), F.lit(0)).alias("first"), F.sum("n").over(Window.partitionBy("motif_idx")).alias("total"))
+    inside = Window.partitionBy("motif_idx", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    running = dealt.withColumn("upto", F.sum("has").over(inside)).join(offsets, ["motif_idx", "block"]).withColumn("upto", F.col("first") + F.col("upto"))
+    # A running sum goes to its own block and to those of the two rows whose frames end at it.
+    blocks_of = [F.floor((F.col("place") + d) / rows) for d in (0, 1 - reach, 1 + reach)]
+    met = running.withColumn("at", F.explode(F.array_distinct(F.array(*blocks_of))))
+    own = Window.partitionBy("motif_idx", "at").orderBy("place")
+    ahead, behind = (F.max("upto").over(own.rangeBetween(d, d)) for d in (reach - 1, -reach - 1))
+    hit = F.coalesce(ahead, F.col("total")) - F.coalesce(behind, F.lit(0))
+    size = F.least(F.col("place") + reach, F.lit(n)) - F.greatest(F.col("place") - reach, F.lit(0))
+    shares = met.select("motif_idx", "region_id", "place", "at", "block", (hit / size / (control_share or 1.0)).alias("fold_change"))
+    return shares.filter("at = block").select("motif_idx", "region_id", "place", "fold_change")
+
+
+def smoothed_curve(curve: DataFrame, n: int = TAPS, size: int | None = None, rows: int = BLOCK) -> DataFrame:
+    """(motif_idx, place, smooth) of a ranked curve: the same taps by neighbours, reflected at the ends.
+
+    size is the number of places of each motif, counted if not given. Places are worked on in blocks of `rows`, each with
+    the neighbours of its first and last ones.
+    """
     half = n // 2
+    own = Window.partitionBy("motif_idx", "at").orderBy("place")
     # A reflected neighbour k places before the first row lies 2 * (k - place) ahead of where it would be, at k - place.
-    wide = curve.withColumn("size", size)
+    if size is None:
+        sized = curve.join(F.broadcast(curve.groupBy("motif_idx").agg(F.count(F.lit(1)).alias("size"))), "motif_idx")
+    else:
+        sized = curve.withColumn("size", F.lit(size).cast("long"))
+    near = F.array(*[F.floor((F.col("place") + d) / rows) for d in (-half, 0, half)])
+    wide = sized.withColumn("at", F.explode(F.array_distinct(near)))
     total = F.lit(0.0)
     for k, w in enumerate(hanning(n)):
         d = k - half
@@ -122,4 +173,5 @@ def smoothed_curve(curve: DataFrame, n: int = TAPS) -> DataFrame:
                 step = p - abs(p - d)
                 value = F.when(F.col("place") == F.col("size") - 1 - p, F.lead("fold_change", step).over(own) if step > 0 else F.lag("fold_change", -step).over(own)).otherwise(value)
         total = total + value * w
-    return wide.select("motif_idx", "place", F.when(F.col("size") <= n, F.col("fold_change")).otherwise(total).alias("smooth"))
+    smooth = F.when(F.col("size") <= n, F.col("fold_change")).otherwise(total).alias("smooth")
+    return wide.select("motif_idx", "place", "at", smooth).filter(F.col("at") == F.floor(F.col("place") / rows)).drop("at")

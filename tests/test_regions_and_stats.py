@@ -169,13 +169,15 @@ def test_smoothing(spark, n):
     assert got == pytest.approx(numpy_smooth(x))
 
 
-def test_ranked_curve(spark):
+@pytest.mark.parametrize("rows", [P.BLOCK, 64, 7])
+def test_ranked_curve(spark, rows):
     n = 300
     r = spark.range(n).select(F.col("id").alias("region_id"), (F.col("id") * 37 % n).cast("double").alias("score"))
     hits = spark.range(n).select(F.lit(0).alias("motif_idx"), F.col("id").alias("region_id"), (F.col("id") % 3).alias("n_sites"))
-    got = {x["place"]: x["fold_change"] for x in P.ranked_fold_change(r, hits, 0.5).collect()}
+    got = {x["place"]: x["fold_change"] for x in P.ranked_fold_change(r, hits, 0.5, rows).collect()}
     order = sorted(range(n), key=lambda i: (-(i * 37 % n), i))
     flags = [i % 3 > 0 for i in order]
+    assert len(got) == n
     for i in range(n):
         part = flags[max(0, i - 3) : i + 3]
         assert got[i] == pytest.approx(sum(part) / len(part) / 0.5)
@@ -183,6 +185,28 @@ def test_ranked_curve(spark):
         P.ranked_fold_change(r.limit(99), hits, 0.5)
 
 
+@pytest.mark.parametrize("rows", [P.BLOCK, 50, 8])
+def test_places_by_score(spark, rows):
+    """Ties in plenty, missing scores and NaN: the places of one sort, whatever the ranges."""
+    rnd = random.Random(rows)
+    scores = [rnd.choice([None, float("nan"), -0.5, *[1.0] * 6, *[rnd.random() * 3 for _ in range(6)]]) for _ in range(400)]
+    rows_of = [(i * 7, v) for i, v in enumerate(scores)]
+    rnd.shuffle(rows_of)
+    df = spark.createDataFrame(rows_of, "region_id long, score double")
+    placed = P.placed_by_score(df, len(scores), rows).collect()
+    want = [x["region_id"] for x in df.orderBy(F.col("score").desc(), "region_id").collect()]
+    assert [x["region_id"] for x in sorted(placed, key=lambda x: x["place"])] == want
+    assert sorted(x["place"] for x in placed) == list(range(len(scores)))
+
+
+@pytest.mark.parametrize("rows", [5, 16])
+def test_smoothing_in_blocks(spark, rows):
+    x = [random.Random(i).random() for i in range(40)]
+    curve = spark.createDataFrame([(0, i, v) for i, v in enumerate(x)], "motif_idx int, place long, fold_change double")
+    got = [r["smooth"] for r in P.smoothed_curve(curve, size=40, rows=rows).orderBy("place").collect()]
+    assert got == pytest.approx(numpy_smooth(x))
+
+
 def test_checks(spark):
     r = regions(spark, [("c", 0, 10, None), ("c", 5, 15, None)])
     assert P.have_same_length(r) and P.have_scores(r)
