@@ -346,11 +346,11 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def pii_spans(docs: DataFrame) -> DataFrame:
-    """Every row with counts of base spans by kind, base_sha256, spans (all, as text) and redacted (the text without them)."""
-    fields = ", ".join([*(f"n_{k} long" for k in KINDS), "base_sha256 string, spans string, redacted string"])
+    """Every row with counts of base spans by kind, base_sha256, spans (all, as text), n_spans (how many) and redacted (the text without them)."""
+    fields = ", ".join([*(f"n_{k} long" for k in KINDS), "base_sha256 string, spans string, n_spans long, redacted string"])
 
     def kernel(texts: list) -> dict:
-        out: dict[str, list] = {n: [] for n in (*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "redacted")}
+        out: dict[str, list] = {n: [] for n in (*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans", "redacted")}
         for raw in texts:
             text = (raw or b"").decode("utf-8", "replace")
             base, spans = find(text)
@@ -358,6 +358,7 @@ def pii_spans(docs: DataFrame) -> DataFrame:
                 out[f"n_{k}"].append(sum(s[0] == k for s in base))
             out["base_sha256"].append(hashlib.sha256(listed(base).encode()).hexdigest())
             out["spans"].append(listed(spans))
+            out["n_spans"].append(len(spans))
             out["redacted"].append(None if raw is None else redact(text, spans) if spans else text)
         return out
 
@@ -375,4 +376,4 @@ def redacted_documents(docs: DataFrame) -> DataFrame:
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii_spans(docs).select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans")
+    return pii_spans(docs).select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_spans")
