@@ -104,12 +104,14 @@ def placed_by_score(regions: DataFrame, n: int, rows: int = BLOCK) -> DataFrame:
         # A cut is the least score of its range, so the range's other scores (part 0) go first.
         part = F.when(F.col("score") == value, below + 1).otherwise(part)
     dealt = scored.withColumn("range", range_).withColumn("part", part)
+    own = Window.partitionBy("range", "part").orderBy(F.col("score").desc(), "region_id")
+    ordered = dealt.select("region_id", "range", "part", (F.row_number().over(own) - 1).cast("long").alias("at"))
+    if not cuts:
+        return ordered.select("region_id", F.col("at").alias("place"))
     sizes = dealt.groupBy("range", "part").agg(F.count(F.lit(1)).alias("n"))
     # About n / rows of them.
     before = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("range", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    own = Window.partitionBy("range", "part").orderBy(F.col("score").desc(), "region_id")
-    ordered = dealt.select("region_id", "range", "part", (F.row_number().over(own) - 1).alias("at"))
     return ordered.join(F.broadcast(offsets), ["range", "part"]).select("region_id", (F.col("first") + F.col("at")).alias("place"))
 
 
@@ -127,20 +129,28 @@ def ranked_fold_change(regions: DataFrame, hits: DataFrame, control_share: float
     joined = hits.join(placed_by_score(regions, n, rows), "region_id").select("motif_idx", "region_id", "place", has)
     dealt = joined.withColumn("block", F.floor(F.col("place") / rows))
     # The frame [place - reach, place + reach) is a difference of running sums: those within a block, and of whole blocks.
-    sums = dealt.groupBy("motif_idx", "block").agg(F.sum("has").alias("n"))
-    blocks = Window.partitionBy("motif_idx").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("motif_idx", "block", F.coalesce(F.sum("n").over(blocks), F.lit(0)).alias("first"), F.sum("n").over(Window.partitionBy("motif_idx")).alias("total"))
-    inside = Window.partitionBy("motif_idx", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    running = dealt.withColumn("upto", F.sum("has").over(inside)).join(offsets, ["motif_idx", "block"]).withColumn("upto", F.col("first") + F.col("upto"))
-    # A running sum goes to its own block and to those of the two rows whose frames end at it.
-    blocks_of = [F.floor((F.col("place") + d) / rows) for d in (0, 1 - reach, 1 + reach)]
-    met = running.withColumn("at", F.explode(F.array_distinct(F.array(*blocks_of))))
-    own = Window.partitionBy("motif_idx", "at").orderBy("place")
-    ahead, behind = (F.max("upto").over(own.rangeBetween(d, d)) for d in (reach - 1, -reach - 1))
+    own = Window.partitionBy("motif_idx", "block")
+    running = dealt.withColumn("upto", F.sum("has").over(own.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)))
+    if n <= rows:
+        # One block: nothing lies before it, so hits need not be computed again for sums by block, nor rows dealt again.
+        met = running.withColumn("total", F.sum("has").over(own))
+        around, kept = own.orderBy("place"), F.lit(True)
+        ahead, behind = F.lead("upto", reach - 1).over(around), F.lag("upto", reach + 1).over(around)
+    else:
+        sums = dealt.groupBy("motif_idx", "block").agg(F.sum("has").alias("n"))
+        motif = Window.partitionBy("motif_idx")
+        before = F.sum("n").over(motif.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+        offsets = sums.select("motif_idx", "block", F.coalesce(before, F.lit(0)).alias("first"), F.sum("n").over(motif).alias("total"))
+        whole = running.join(offsets, ["motif_idx", "block"]).withColumn("upto", F.col("first") + F.col("upto"))
+        # A running sum goes to its own block and to those of the two rows whose frames end at it.
+        blocks_of = [F.floor((F.col("place") + d) / rows) for d in (0, 1 - reach, 1 + reach)]
+        met = whole.withColumn("at", F.explode(F.array_distinct(F.array(*blocks_of))))
+        around, kept = Window.partitionBy("motif_idx", "at").orderBy("place"), F.col("at") == F.col("block")
+        ahead, behind = (F.max("upto").over(around.rangeBetween(d, d)) for d in (reach - 1, -reach - 1))
     hit = F.coalesce(ahead, F.col("total")) - F.coalesce(behind, F.lit(0))
     size = F.least(F.col("place") + reach, F.lit(n)) - F.greatest(F.col("place") - reach, F.lit(0))
-    shares = met.select("motif_idx", "region_id", "place", "at", "block", (hit / size / (control_share or 1.0)).alias("fold_change"))
-    return shares.filter("at = block").select("motif_idx", "region_id", "place", "fold_change")
+    shares = met.select("motif_idx", "region_id", "place", kept.alias("kept"), (hit / size / (control_share or 1.0)).alias("fold_change"))
+    return shares.filter("kept").select("motif_idx", "region_id", "place", "fold_change")
 
 
 def smoothed_curve(curve: DataFrame, n: int = TAPS, size: int | None = None, rows: int = BLOCK) -> DataFrame:
