@@ -31,6 +31,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8): the one of the least id.
 
+    Candidates are SimHash's, found by the pigeonring filter, and MinHash's; the whole sets decide.
+
     Null and empty texts are copies of each other; very long texts are compared whole; ties of ids go to the least text hash,
     then the least other columns; of repeated rows one stays. Null ids come last. An empty table stays empty. Columns of any
     name pass.

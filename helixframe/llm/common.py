@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -56,6 +60,30 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of about STEP_BYTES for what is run inside: executors hold one a task, on both sides."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(STEP_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def spare_memory() -> None:
+    """A reused Python worker gives back what earlier tasks left in it: the tokenizer's tables and freed memory."""
+    bpe = sys.modules.get("helixframe.llm.bpe")
+    if bpe and bpe._made:
+        bpe._made.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def words(text: Column) -> Column:
     """Array of the maximal runs of non-separators; null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")

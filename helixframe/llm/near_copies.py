@@ -1,8 +1,10 @@
 """Near copies by word shingles: links between texts whose sets of five-word shingles have a Jaccard similarity of 0.8.
 
 Words as for SimHash; a text of fewer words is one shingle. Texts with equal sets are one node. Links are decided by the
-whole sets (9 |A and B| >= 4 (|A| + |B|), integers); only the candidates come from MinHash: `BANDS` keys of `ROWS`
-minima, so a pair at similarity 0.8 shares no key with probability (1 - 0.8^5)^32 = 3e-6, and above it with less.
+whole sets (9 |A and B| >= 4 (|A| + |B|), integers); only the candidates come from keys. One key is the SimHash group:
+fingerprints of the five-word shingles, repeats included, linked by the pigeonring filter and Hamming distance as in
+`simhash`, and their components. Most pairs at similarity 0.8 differ in more bits than SimHash links, so MinHash adds `BANDS`
+keys of `ROWS` minima: a pair at 0.8 shares none of them with probability (1 - 0.8^5)^32 = 3e-6, above it with less.
 
 Candidates are never listed as pairs. Nodes that share keys, directly or over others, make a cluster. Only the texts of
 nodes in clusters are read again for their sets. A node weighs as many as its shingles and `EACH` more. A cluster of weight
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm import simhash
-from helixframe.llm.common import per_text, steps, written
+from helixframe.llm.common import per_text, small_batches, spare_memory, steps, written
 
 WIDTH = 5
 BANDS = 32
@@ -54,14 +56,23 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _kernel(texts: list) -> dict:
-    sets = shingle_sets(texts)
+    spare_memory()
+    sets: list[np.ndarray] = []
+
+    def hashes():
+        for t in texts:
+            got = simhash.shingle_hashes(t or b"", WIDTH)
+            sets.append(np.unique(np.array(got, np.uint64)))
+            yield got
+
+    prints = simhash.voted(hashes(), len(texts))
     keys: list = [[]] * len(sets)
     full = [i for i, s in enumerate(sets) if len(s)]
     for at in range(0, len(full), 64):
         some = full[at : at + 64]
         for i, own in zip(some, band_keys([sets[i] for i in some])):
             keys[i] = own
-    return {"u": _names(sets), "size": [len(s) for s in sets], "keys": keys}
+    return {"u": _names(sets), "size": [len(s) for s in sets], "keys": keys, "fp": prints}
 
 
 def _names(sets: list[np.ndarray]) -> np.ndarray:
@@ -100,6 +111,7 @@ def decided(groups: DataFrame, sets: DataFrame) -> DataFrame:
     dealt = rows.repartition("g").sortWithinPartitions("g")
 
     def run(batches):
+        spare_memory()
         last, us, held = None, [], []
 
         def flush():
@@ -134,6 +146,7 @@ def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     rows = slim.join(wanted.hint("shuffle_hash"), same).select("u", F.col("text").cast("binary").alias("text"))
 
     def run(batches):
+        spare_memory()
         seen = set()  # repeated rows give one set; one that is read twice links like its twin
         for batch in batches:
             for part in steps(batch, "text"):
@@ -146,15 +159,32 @@ def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "u long, grams binary")
 
 
+def group_keys(rows: DataFrame) -> DataFrame:
+    """(u, key) by SimHash: texts whose fingerprints are linked, directly or over others, share a key; rows has u and fp."""
+    pairs = written(rows.select("u", "fp").distinct(), "near-prints")
+    roots = simhash.components(simhash.links(written(pairs.select("fp").distinct(), "near-fp"))).withColumnRenamed("node", "fp")
+    return pairs.join(roots, "fp", "left").select("u", F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("key"))
+
+
 def links(rows: DataFrame, unique: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b), a < b: links between distinct sets that span their components; rows has u and keys, unique u, size and least."""
-    # Keys of equal sets are equal: they are taken once, counted apart from the join on them.
-    keyed = written(rows.select("u", F.explode("keys").alias("key")).distinct(), "near-keys")
+    """(a, b), a < b: links between distinct sets that span their components; rows has u, keys and fp, unique u, size and least."""
+    # MinHash keys of equal sets are equal: they are taken once, counted apart from the join on them.
+    alike = written(group_keys(rows), "near-groups")
+    keyed = written(rows.select("u", F.explode("keys").alias("key")).unionByName(alike).distinct(), "near-keys")
     met = keyed.groupBy("key").agg(F.min("u").alias("least"), F.max("u").alias("most"))
     met = written(met.filter("least < most").select("key", "least"), "near-met")
     members = written(keyed.join(met, "key"), "near-members")
     stars = written(members.filter("u != least").select(F.col("least").alias("a"), F.col("u").alias("b")).distinct(), "near-stars")
-    roots = simhash.components(stars).select(F.col("node").alias("u"), F.col("root").alias("g"))
+    # Clusters are sought between SimHash groups, each taken as its least node: far fewer edges where copies are many.
+    heads = written(alike.join(met, "key").groupBy("u").agg(F.min("least").alias("head")), "near-heads")
+    merged = stars
+    for end in "ab":
+        own = heads.select(F.col("u").alias(end), F.col("head").alias(f"head_{end}"))
+        merged = merged.join(own, end, "left").withColumn(f"head_{end}", F.coalesce(f"head_{end}", end))
+    merged = merged.filter("head_a != head_b").select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b"))
+    roots = written(simhash.components(merged.distinct()), "near-roots").withColumnRenamed("node", "head")
+    nodes = written(members.select("u").distinct(), "near-nodes").join(heads, "u", "left").select("u", F.coalesce("head", "u").alias("head"))
+    roots = nodes.join(roots, "head", "left").select("u", F.coalesce("root", "head").alias("g"))
     cluster = written(roots.join(unique, "u").select("u", "g", (F.col("size") + EACH).alias("weight"), "least.doc_id", "least.h"), "near-clusters")
     sets = written(texts_of(docs, cluster), "near-sets")
     sizes = written(cluster.groupBy("g").agg(F.sum("weight").alias("weight")), "near-sizes")
@@ -186,12 +216,13 @@ def links(rows: DataFrame, unique: DataFrame, docs: DataFrame, block: int = BLOC
 
 def near_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, h, u, keeper) of every row, as simhash_components gives them."""
-    slim = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    rows = written(per_text(slim, "text", _kernel, "u long, size long, keys array<long>").drop("text"), "near-rows")
-    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    unique = written(rows.groupBy("u").agg(F.min(own).alias("least"), F.first("size").alias("size")), "near-unique")
-    roots = simhash.components(links(rows, unique, docs, block)).withColumnRenamed("node", "u")
-    placed = written(unique.join(roots, "u", "left").select("u", "least", F.coalesce("root", "u").alias("root")), "near-placed")
-    keepers = placed.groupBy("root").agg(F.min("least").alias("keeper"))
-    keepers = written(placed.join(keepers, "root").select("u", "keeper"), "near-keepers")
+    with small_batches(docs.sparkSession):
+        slim = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+        rows = written(per_text(slim, "text", _kernel, "u long, size long, keys array<long>, fp long").drop("text"), "near-rows")
+        own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+        unique = written(rows.groupBy("u").agg(F.min(own).alias("least"), F.first("size").alias("size")), "near-unique")
+        roots = simhash.components(links(rows, unique, docs, block)).withColumnRenamed("node", "u")
+        placed = written(unique.join(roots, "u", "left").select("u", "least", F.coalesce("root", "u").alias("root")), "near-placed")
+        keepers = placed.groupBy("root").agg(F.min("least").alias("keeper"))
+        keepers = written(placed.join(keepers, "root").select("u", "keeper"), "near-keepers")
     return rows.select("doc_id", "h", "u").join(keepers, "u")

@@ -25,7 +25,7 @@ gives an empty table. Columns of any name pass `deduplicated`; fingerprints take
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from itertools import combinations
 
 import numpy as np
@@ -64,7 +64,12 @@ def shingle_hashes(text: bytes, width: int = WIDTH) -> list[int]:
 
 def fingerprints(texts: list) -> list[int]:
     """Signed 64-bit fingerprints."""
-    out = np.zeros(len(texts), np.int64)
+    return voted((shingle_hashes(text or b"") for text in texts), len(texts))
+
+
+def voted(hashes: Iterable[list[int]], n: int) -> list[int]:
+    """Signed 64-bit fingerprints of n texts from each one's shingle hashes."""
+    out = np.zeros(n, np.int64)
     held: list[int] = []
     places: list[int] = []
     starts: list[int] = []
@@ -80,8 +85,7 @@ def fingerprints(texts: list) -> list[int]:
         out[places] = np.packbits(set_, axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
         held.clear(), places.clear(), starts.clear()
 
-    for i, text in enumerate(texts):
-        got = shingle_hashes(text or b"")
+    for i, got in enumerate(hashes):
         if not got:
             continue
         if len(got) > VOTES:  # one very long text: its votes are added up in parts

@@ -259,6 +259,32 @@ def test_near_copies_match_all_pairs(spark, block):
     assert N.near_components(df.limit(0)).count() == 0
 
 
+def test_simhash_groups_are_candidates(spark):
+    """Without MinHash keys, texts whose fingerprints SimHash links still meet; the whole sets decide."""
+    from pyspark.sql import functions as F
+
+    from helixframe.llm import near_copies as N
+    from helixframe.llm.common import per_text
+
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(900)]
+    base = [rnd.choice(words) for _ in range(600)]
+    texts = [base, [*base, "end"], base[:-1], ["again", *base]]  # all near
+    texts += [base[:5] * 400 + [f"{k}{w}" for w in base[:60]] for k in "xy"]  # alike fingerprints, other sets
+    texts += [[rnd.choice(words) for _ in range(600)] for _ in range(4)]
+    texts = [" ".join(t) for t in texts]
+    got = N._kernel([t.encode() for t in texts])
+    far = lambda i, j: ((got["fp"][i] ^ got["fp"][j]) & (1 << 64) - 1).bit_count()
+    assert max(far(0, i) for i in range(4)) <= S.LIMIT and far(4, 5) <= S.LIMIT
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = per_text(df.select("doc_id", "text", F.xxhash64("text").alias("h")), "text", N._kernel, "u long, size long, keys array<long>, fp long")
+    rows = rows.withColumn("keys", F.array().cast("array<long>")).cache()
+    unique = rows.select("u", "size", F.struct("doc_id", "h").alias("least"))
+    place = {u: i for i, u in enumerate(got["u"].tolist())}
+    edges = N.links(rows, unique, df).collect()
+    assert len(edges) == 3 and {place[n] for e in edges for n in e} == {0, 1, 2, 3}
+
+
 def test_the_stage_removes_edited_copies(spark):
     import corpus_pipeline
 
