@@ -24,7 +24,8 @@ def draw(number: Column, seed: int) -> Column:
 
 def below(number: Column, seed: int, limit: Column) -> Column:
     """Integer in [0, limit)."""
-    return F.floor(draw(number, seed) * limit.cast("decimal(20,0)") / F.lit(MODULUS).cast("decimal(20,0)")).cast("long")
+    # Divided as integers: a quotient of decimals has 6 digits only, and one just under a whole number would be rounded up to it.
+    return F.call_function("div", draw(number, seed).cast("decimal(10,0)") * limit.cast("decimal(19,0)"), F.lit(MODULUS).cast("decimal(10,0)")).cast("long")
 
 
 def hashed(number: Column, stream: int, seed: int, limit: Column) -> Column:
