@@ -2,7 +2,8 @@
 
 `scan` is one narrow Arrow pass: sequences are encoded once per batch, laid one after another, and each motif is
 added up column by column in integers over all positions of both strands. No shuffle, no cross join of motifs and
-positions; memory is bounded by the step. `scan_native` is the same in expressions, for short sequences and for SQL users.
+positions; memory is bounded by the step. `scan_native` is the same in expressions, one row a position, for short sequences and for
+SQL users.
 
 Scores are raw sums over the best possible raw sum. Raw sums are integers (weights times 10^5), so both forms agree to
 the bit. Letters other than A, C, G, T add nothing and are not skipped. A motif whose best sum is 0 has no sites.
@@ -11,6 +12,8 @@ the bit. Letters other than A, C, G, T add nothing and are not skipped. A motif
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,8 @@ SITES_ARROW = pa.schema([("motif_idx", pa.int32()), ("region_id", pa.int64()), (
 TOLERANCE = 1e-10
 #: Bases that one step of the kernel handles at once.
 STEP = 1 << 20
+#: Positions of a sequence that `scan_native` takes together.
+STRETCH = 1024
 
 _CODE = np.full(256, 4, np.uint8)
 for _i, _b in enumerate("ACGT"):
@@ -137,29 +142,51 @@ def window_sum(codes: Column, at: Column, rows: list[list[int]]) -> Column:
 
 def codes_column(seq: Column) -> Column:
     """Array of codes 0-4 of a sequence's characters."""
-    mapped = F.translate(F.regexp_replace(F.upper(seq), "[^ACGT]", "4"), "ACGT", "0123")
+    # Not in upper case first: that makes two letters of some, and later ones would move.
+    mapped = F.translate(F.regexp_replace(seq, "[^ACGTacgt]", "4"), "ACGTacgt", "01230123")
     return F.transform(F.split(mapped, ""), lambda c: F.coalesce(c.try_cast("int"), F.lit(4)))
 
 
 def scan_native(seqs: DataFrame, pwms: Sequence[Pwm], cutoffs: Sequence[float], strand: str = "both") -> DataFrame:
-    """The same SITES by expressions only."""
-    base = seqs.select(F.col("region_id").cast("long"), F.col("w_start").cast("long"), codes_column(F.col("seq")).alias("codes"), F.length("seq").alias("n"))
-
-    def found(i: int, length: int, rows: list, best: int, cutoff: float, sign: str) -> Column:
-        places = F.when(F.col("n") >= length, F.sequence(F.lit(0), F.col("n") - length)).otherwise(F.array().cast("array<int>"))
-        raws = F.transform(places, lambda p: F.struct(p.alias("p"), window_sum(F.col("codes"), p, rows).cast("long").alias("raw")))
-        hits = F.filter(raws, lambda s: cutoff_hit(s["raw"] / float(best), cutoff))
-        site = lambda s: F.struct(F.lit(i).alias("motif_idx"), s["p"].alias("p"), s["raw"].alias("raw"), (s["raw"] / float(best)).alias("score"), F.lit(sign).alias("strand"))
-        return F.transform(hits, site)
-
-    parts = [
-        found(i, m.length, m.scaled() if sign == "+" else m.reverse(), m.max_scan, cutoff, sign)
+    """The same SITES by expressions only.
+
+    Every place is a row, so that its sums run as generated code; in a lambda over places they are interpreted, one lookup
+    after another. Only places where some motif hits go on to the motifs.
+    """
+    motifs = [
+        (i, m.length, m.scaled() if sign == "+" else m.reverse(), m.max_scan, cutoff, sign)
         for i, (m, cutoff) in enumerate(zip(pwms, cutoffs))
         if m.max_scan
         for sign in strands(strand)
     ]
-    sites = base.select("region_id", "w_start", F.inline(F.concat(*parts)))
-    return sites.select("motif_idx", "region_id", (F.col("w_start") + F.col("p")).alias("start"), "raw", "score", "strand")
+    if not motifs:
+        return seqs.sparkSession.createDataFrame([], SITES)
+    shortest, widest = (pick(length for _, length, *_ in motifs) for pick in (min, max))
+    whole = seqs.select(F.col("region_id").cast("long"), F.col("w_start").cast("long"), "seq", F.length("seq").alias("size"))
+    # Rows may carry their codes along and be held together, so they are of a stretch, not of a whole long sequence.
+    firsts = F.when(F.col("size") >= shortest, F.sequence(F.lit(0), F.col("size") - shortest, F.lit(STRETCH))).otherwise(F.array().cast("array<int>"))
+    own = F.transform(firsts, lambda at: F.struct(at.alias("at"), F.substring("seq", at + 1, F.lit(STRETCH + widest - 1)).alias("own")))
+    cut = whole.select("region_id", "w_start", "size", F.inline(own))
+    base = cut.select("region_id", (F.col("w_start") + F.col("at")).alias("w_start"), codes_column(F.col("own")).alias("codes"), (F.col("size") - F.col("at")).alias("n"))
+    places = F.sequence(F.lit(0), F.least(F.col("n") - shortest, F.lit(STRETCH - 1)))
+    placed = base.select("region_id", "w_start", "codes", "n", F.explode(places).alias("p"))
+
+    def hit(k: int, raw: Column) -> Column:
+        _, length, _, best, cutoff, _ = motifs[k]
+        return (F.col("n") - F.col("p") >= length) & cutoff_hit(raw / float(best), cutoff)
+
+    def site(k: int) -> Column:
+        i, _, _, best, _, sign = motifs[k]
+        raw = F.col(f"raw_{k}")
+        return F.when(hit(k, raw), F.struct(F.lit(i).alias("motif_idx"), raw.cast("long").alias("raw"), (raw / float(best)).alias("score"), F.lit(sign).alias("strand")))
+
+    raws = [window_sum(F.col("codes"), F.col("p"), rows) for _, _, rows, *_ in motifs]
+    some = reduce(or_, (hit(k, raw) for k, raw in enumerate(raws)))
+    # Spark pushes no filter through a projection with a row number, which here is never negative; the sums stay shared.
+    summed = placed.select("region_id", "w_start", "n", "p", *[raw.alias(f"raw_{k}") for k, raw in enumerate(raws)], (some & (F.monotonically_increasing_id() >= 0)).alias("some"))
+    start = (F.col("w_start") + F.col("p")).alias("start")
+    sites = summed.filter("some").select("region_id", start, F.inline(F.array(*[site(k) for k in range(len(motifs))]))).filter("motif_idx is not null")
+    return sites.select("motif_idx", "region_id", "start", "raw", "score", "strand")
 
 
 def prefix_scores(seqs: DataFrame, pwms: Sequence[Pwm], strand: str = "both") -> DataFrame:

@@ -55,6 +55,24 @@ def test_kernels_match_loops(spark, strand):
         assert got == want
 
 
+def test_expressions_sum_in_generated_code(spark):
+    plan = scan_native(seqs(spark, ["ACGT"] * 2), A.PWMS, A.CUTOFFS)._jdf.queryExecution().executedPlan().toString()
+    table = str([*next(zip(*A.PWMS[0].scaled())), 0]).replace(" ", "")
+    sums = [line for line in plan.splitlines() if table in line.replace(" ", "")]
+    assert sums and all("*(" in line and "lambda" not in line for line in sums)
+
+
+def test_expressions_at_the_edges(spark):
+    # Two of these letters in upper case are one in lower case.
+    texts = ["ßACGTTTA", "ŉﬃacgttta", "A", "AC" * 5000, "ACGTTTAC", None, "", "".join(random.Random(4).choices("ACGTn", k=3000))]
+    df = seqs(spark, texts, 3)
+    three = [TWO, M.Pwm([[0.0], [0.0], [0.0], [0.0]], "z", "z"), *A.PWMS]
+    cutoffs = [0.6, 0.0, 0.5, 0.4, 0.2]
+    want = rows(scan(df, three, cutoffs=cutoffs))
+    assert want and rows(scan_native(df, three, cutoffs)) == want
+    assert scan_native(df, three[1:2], [0.0]).collect() == scan(df, three[1:2], cutoffs=[0.0]).collect() == []
+
+
 def test_unknown_bases_hit_at_cutoffs_of_zero(spark):
     assert scan(seqs(spark, ["NNNN"]), [TWO], cutoffs=[0.0]).count() == 6
     flat = M.Pwm([[-1.0], [0.0], [-2.0], [0.0]], "f", "f")
